@@ -54,8 +54,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     """The words of a text in order; none for a null text or one of white space only."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{WHITE_SPACE}+|{WHITE_SPACE}+\\z", "")
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{WHITE_SPACE}+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WHITE_SPACE}+"), "")
 
 
 def rank_in(bounds: Column, n_bounds: int, key: Column, strict: bool = False) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomweave.llm import bpe, fingerprints, packing, simhash_dedup
+from bomweave.llm import bpe, cotraining, fingerprints, language_id, packing, quality_rules, simhash_dedup, toxicity, url_filter, warc
 from bomweave.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,25 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = warc.round_trip(table(spark, sf_dir, "pages"))
+    return own.select(F.col("page").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+#: host, path, verdict
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.learn(docs, table(spark, sf_dir, "labels"), language_id.may_learn("id"))
+    return cotraining.score(docs, model).withColumn("held_out", ~F.coalesce(language_id.may_learn(), F.lit(False)))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
     return own.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -38,5 +57,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_fingerprints, op6_simhash_dedup, op7_packing)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = quality_rules.judge(table(spark, sf_dir, "documents"), F.col("doc_id"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return own.select(F.col("_other0").alias("doc_id"), *counts, "base_failed", "kept")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = language_id.predict(docs, language_id.learn(docs, language_id.may_learn()))
+    return own.select("doc_id", (~F.coalesce(language_id.may_learn(), F.lit(False))).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda c: language_id.may_learn(c, 4, 2)
+    own = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), fold("id")))
+    return own.select("doc_id", (~F.coalesce(fold("doc_id"), F.lit(False))).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_url_filter, op5_cotraining, op6_simhash_dedup, op7_packing, op8_quality_rules, op9_language_id, op10_toxicity)
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import materialize, shuffle_partitions
+from bomweave.llm.common import materialize, shuffle_partitions, unused
 
 #: Points that one cell may hold before it is cut into shells.
 CELL_LIMIT = 8192
@@ -326,3 +326,22 @@ def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, cell_limit: in
     labels = rooted.join(named, "root").select("fp", "component_id")
     # a fingerprint may be that of a third of all rows: its rows are split by Spark's skew join
     return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without those whose group has a document of a smaller id.
+
+    Rows with a null id stay. Of rows that repeat an id one stays, the least by text, if any of them is its group's first.
+    The ids to remove are a written table, so Spark broadcasts it only where its size is known to be small.
+    """
+    groups = materialize(near_groups(docs, radius, width, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "component_id"), "groups")
+    by_id = groups.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max((F.col("id") == F.col("component_id")).cast("int")).alias("first"))
+    gone = materialize(by_id.where("first = 0").select("id"), "gone")
+    again = materialize(by_id.where("first = 1 and n > 1").select("id"), "again")
+    kept = docs.join(gone, docs[id_col] == gone.id, "left_anti")
+    if again.isEmpty():
+        return kept
+    (place,) = unused(docs, "place")
+    several = kept.join(again, kept[id_col] == again.id, "left_semi")
+    one = several.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(place) == 1).drop(place)
+    return kept.join(again, kept[id_col] == again.id, "left_anti").unionByName(one)
