@@ -179,10 +179,9 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = iter(batch.column(1).to_pylist())
-            for texts in _slices(batch.column(0)):
+            for texts, langs in zip(_slices(batch.column(0)), _slices(batch.column(1)), strict=True):
                 whole = np.rint(_unit(trigrams().bundles(texts).astype(np.float64)) * _SCALE).astype(np.int64)
-                for lang, own in zip(langs, whole, strict=False):
+                for lang, own in zip(langs, whole, strict=True):
                     sums[lang] = sums.get(lang, 0) + own
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "sums"])
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from bomweave.llm.common import materialize, words
 
 #: Smallest distance from the median, in thousandths, that counts as one quartile distance; lower and upper bound or upper only.
-MEASURES = {"word_length": (300, True), "symbols": (25, False), "dup_lines": (50, False), "repeats": (60, False)}
+MEASURES = {"word_length": (300, True), "symbols": (25, False), "dup_lines": (80, False), "repeats": (80, False)}
 LEAST_GROUP = 200
 REACH = 5
 LEAST_WORDS = 50

@@ -79,4 +79,65 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_url_filter, op5_cotraining, op6_simhash_dedup, op7_packing, op8_quality_rules, op9_language_id, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS digest, min(page_id) OVER (PARTITION BY b) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM q"""
+
+_OP4 = """
+WITH r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT s.page_id, s.host, s.path, r.host || r.path AS rule, r.verdict,
+             row_number() OVER (PARTITION BY s.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+      FROM s LEFT JOIN r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1"""
+
+
+def _op8() -> str:
+    """The rules and their bounds in SQL, with this module's parameters."""
+    measures = {"word_length": "word_chars, n_words", "symbols": "n_symbols, n_words", "dup_lines": "n_dup_lines, n_lines", "repeats": "n_repeat_words, n_words"}
+    value = lambda m: "CASE WHEN {1} > 0 THEN 1000 * {0} // {1} ELSE 0 END".format(*measures[m].split(", "))
+    tests, bounds = [], []
+    for m, (least, both) in quality_rules.MEASURES.items():
+        bounds.append(f"max(CASE WHEN measure = '{m}' THEN q2 + {quality_rules.REACH} * greatest({least}, q2 - q1) END) AS {m}_most")
+        tests.append(f"{value(m)} <= {m}_most")
+        if both:
+            bounds.append(f"max(CASE WHEN measure = '{m}' THEN q2 - {quality_rules.REACH} * greatest({least}, q3 - q2) END) AS {m}_least")
+            tests.append(f"{value(m)} >= {m}_least")
+    quartile = ", ".join(f"min(CASE WHEN 4 * upto >= {k} * total THEN bucket END) AS q{k}" for k in (1, 2, 3))
+    levels = ""
+    for i, keys in enumerate((["lang", "source"], ["lang"], [])):
+        by = "".join(f"{k}, " for k in keys)
+        levels += f""",
+c{i} AS (SELECT {by}measure, bucket, count(*) AS n FROM v GROUP BY {by}measure, bucket),
+u{i} AS (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total FROM c{i}),
+l{i} AS (SELECT {by}measure, max(total) AS total, {quartile} FROM u{i} GROUP BY {by}measure)"""
+    pick = ", ".join(f"CASE WHEN l0.total >= {quality_rules.LEAST_GROUP} THEN l0.{q} WHEN l1.total >= {quality_rules.LEAST_GROUP} THEN l1.{q} ELSE l2.{q} END AS {q}" for q in ("q1", "q2", "q3"))
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {value(m)} AS x FROM f WHERE NOT base_failed" for m in measures)
+    return rf"""
+WITH w AS (SELECT doc_id, lang, source, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), x -> x <> '') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ 	-
+]')) AS l FROM documents),
+x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+y AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM x) WHERE n > 1),
+z AS (SELECT doc_id, sum(least(3, i - before))::BIGINT AS n FROM (SELECT doc_id, i, lag(i, 1, -9) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM y) GROUP BY doc_id),
+a AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(array_to_string(w, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(z.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN z USING (doc_id)),
+f AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM a),
+v AS (SELECT lang, source, measure, x - x % (1::BIGINT << greatest(0, length(bin(x::BIGINT)) - 7)::INT) AS bucket FROM ({each})){levels},
+q AS (SELECT l0.lang, l0.source, l0.measure, {pick} FROM l0 JOIN l1 ON l0.lang IS NOT DISTINCT FROM l1.lang AND l0.measure = l1.measure JOIN l2 ON l0.measure = l2.measure),
+b AS (SELECT lang, source, {", ".join(bounds)} FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({" AND ".join(tests)}, false) AS kept
+FROM f LEFT JOIN b ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_warc": _OP3, "op4_url_filter": _OP4, "op8_quality_rules": _op8()}
