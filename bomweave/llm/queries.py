@@ -121,10 +121,8 @@ l{i} AS (SELECT {by}measure, max(total) AS total, {quartile} FROM u{i} GROUP BY
     pick = ", ".join(f"CASE WHEN l0.total >= {quality_rules.LEAST_GROUP} THEN l0.{q} WHEN l1.total >= {quality_rules.LEAST_GROUP} THEN l1.{q} ELSE l2.{q} END AS {q}" for q in ("q1", "q2", "q3"))
     each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {value(m)} AS x FROM f WHERE NOT base_failed" for m in measures)
     return rf"""
-WITH w AS (SELECT doc_id, lang, source, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), x -> x <> '') AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ 	-
-]')) AS l FROM documents),
+WITH w AS (SELECT doc_id, lang, source, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 x AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 y AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM x) WHERE n > 1),
 z AS (SELECT doc_id, sum(least(3, i - before))::BIGINT AS n FROM (SELECT doc_id, i, lag(i, 1, -9) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM y) GROUP BY doc_id),
