@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def percent_decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often it is used: it becomes a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def document_id(namespace: Column, sha1: Column) -> Column:
     return F.coalesce(blank_to_null(F.trim(namespace)), F.concat(F.lit(SHA1_PREFIX), sha1))
 
@@ -99,30 +106,39 @@ def purl_match_key(purl: Column) -> Column:
 
     Type and namespace in lower case, segments percent-decoded; the name as written.
     """
-    bare = F.substring(_bare_purl(purl), F.lit(5), F.length(purl))
-    cut = F.regexp_extract(bare, r"^.+@([^@/]*)$", 1)
-    has_version = bare.rlike(r"^.+@[^@/]*$")
-    path = F.when(has_version, F.regexp_extract(bare, r"^(.+)@[^@/]*$", 1)).otherwise(bare)
-    parts = F.array_remove(F.split(path, "/"), "")
-    n = F.size(parts)
-    inner = F.when(n > 2, F.transform(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), lambda s: F.lower(percent_decoded(s)))).otherwise(F.array().cast("array<string>"))
-    key = F.concat_ws("/", F.lower(F.get(parts, F.lit(0))), F.array_join(inner, "/"), percent_decoded(F.get(parts, n - 1)))
-    return F.when(purl.startswith("pkg:") & (n > 0), F.struct(key.alias("id"), F.when(has_version, blank_to_null(percent_decoded(cut))).alias("version")))
+
+    def of_parts(parts: Column, version: Column) -> Column:
+        n = F.size(parts)
+        inner = F.transform(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda s: F.lower(percent_decoded(s)))
+        key = F.concat_ws("/", F.lower(F.get(parts, F.lit(0))), F.array_join(inner, "/"), percent_decoded(F.get(parts, n - 1)))
+        return F.when(n > 0, F.struct(key.alias("id"), version.alias("version")))
+
+    def of_bare(bare: Column) -> Column:
+        versioned = bare.rlike(r"^.+@[^@/]*$")
+        version = F.when(versioned, blank_to_null(percent_decoded(F.regexp_extract(bare, r"@([^@/]*)$", 1))))
+        path = F.when(versioned, F.regexp_extract(bare, r"^(.+)@[^@/]*$", 1)).otherwise(bare)
+        return let(F.array_remove(F.split(path, "/"), ""), lambda parts: of_parts(parts, version))
+
+    return F.when(purl.startswith("pkg:"), let(F.substring(_bare_purl(purl), F.lit(5), F.length(purl)), of_bare))
 
 
 def cpe_match_key(cpe: Column) -> Column:
     """struct(id, version) of a CPE in either form, null where part, vendor or product isn't a plain name."""
-    text = F.lower(F.trim(cpe))
-    formatted = text.startswith("cpe:2.3:")
-    pieces = F.regexp_extract_all(F.substring(text, F.lit(9), F.length(text)), F.lit(r"((?:\\.|[^:\\])*)(?::|$)"), F.lit(1))
-    new = F.transform(pieces, lambda p: F.regexp_replace(p, r"\\(.)", "$1"))
-    old = F.transform(F.split(F.substring(text, F.lit(6), F.length(text)), ":"), percent_decoded)
-    parts = F.when(formatted, new).when(text.startswith("cpe:/"), old)
-    at = lambda i: F.get(parts, F.lit(i))
     concrete = lambda c: F.coalesce((c != "") & (c != "-") & ~c.rlike(r"(?<!\\)[*?]"), F.lit(False))
-    version = F.when(~at(3).isin("", "*", "-"), at(3))
-    good = at(0).isin("a", "h", "o") & concrete(at(1)) & concrete(at(2))
-    return F.when(good, F.struct(F.concat_ws(":", F.concat(F.lit("cpe|"), at(0)), at(1), at(2)).alias("id"), version.alias("version")))
+
+    def of_parts(parts: Column) -> Column:
+        at = lambda i: F.get(parts, F.lit(i))
+        good = at(0).isin("a", "h", "o") & concrete(at(1)) & concrete(at(2))
+        version = F.when(~at(3).isin("", "*", "-"), at(3))
+        return F.when(good, F.struct(F.concat(F.lit("cpe|"), at(0), F.lit(":"), at(1), F.lit(":"), at(2)).alias("id"), version.alias("version")))
+
+    def of_text(text: Column) -> Column:
+        pieces = F.regexp_extract_all(F.substring(text, F.lit(9), F.length(text)), F.lit(r"((?:\\.|[^:\\])*)(?::|$)"), F.lit(1))
+        new = F.transform(pieces, lambda p: F.regexp_replace(p, r"\\(.)", "$1"))
+        old = F.transform(F.split(F.substring(text, F.lit(6), F.length(text)), ":"), percent_decoded)
+        return let(F.when(text.startswith("cpe:2.3:"), new).when(text.startswith("cpe:/"), old), of_parts)
+
+    return let(F.lower(F.trim(cpe)), of_text)
 
 
 def match_key(ref: Column) -> Column:

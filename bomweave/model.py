@@ -10,22 +10,31 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_CHECKSUM = "struct<algorithm: string, value: string>"
-_REFERENCE = "struct<category: string, type: string, locator: string>"
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-DOCUMENT = T._parse_datatype_string(
-    "doc_id string, ord long, model string, version string, serialization string, spdx_id string, name string, namespace string, created string, "
-    "creators array<string>, comment string, data_license string, describes array<string>, sha1 string, file_name string"
+
+def _texts(*names: str) -> dict[str, T.DataType]:
+    return dict.fromkeys(names, T.StringType())
+
+
+_LONG, _LIST = T.LongType(), T.ArrayType(T.StringType())
+CHECKSUM = _struct(**_texts("algorithm", "value"))
+REFERENCE = _struct(**_texts("category", "type", "locator"))
+
+DOCUMENT = _struct(
+    doc_id=T.StringType(), ord=_LONG, **_texts("model", "version", "serialization", "spdx_id", "name", "namespace", "created"), creators=_LIST, **_texts("comment", "data_license"), describes=_LIST,
+    **_texts("sha1", "file_name"),
 )
-ELEMENT = T._parse_datatype_string(
-    "doc_id string, pos long, spdx_id string, kind string, name string, version string, purl string, supplier string, originator string, "
-    "download_location string, license_concluded string, license_declared string, copyright string, purpose string, description string, comment string, "
-    f"checksums array<{_CHECKSUM}>, external_refs array<{_REFERENCE}>, extra_identity map<string, string>"
+ELEMENT = _struct(
+    doc_id=T.StringType(), pos=_LONG,
+    **_texts("spdx_id", "kind", "name", "version", "purl", "supplier", "originator", "download_location", "license_concluded", "license_declared", "copyright", "purpose", "description", "comment"),
+    checksums=T.ArrayType(CHECKSUM), external_refs=T.ArrayType(REFERENCE), extra_identity=T.MapType(T.StringType(), T.StringType()),
 )
-RELATIONSHIP = T._parse_datatype_string("doc_id string, rel_index long, type string, from_kind string, from_ref string, from_id string, to_kind string, to_ref string, to_id string, comment string")
-EXT_REF = T._parse_datatype_string("doc_id string, pos long, doc_ref string, uri string, checksum_alg string, checksum_value string")
-DIAGNOSTIC = T._parse_datatype_string("doc_id string, seq long, severity string, code string, message string, line long")
-BINDING = T._parse_datatype_string("doc_id string, doc_ref string, target_doc_id string")
+RELATIONSHIP = _struct(doc_id=T.StringType(), rel_index=_LONG, **_texts("type", "from_kind", "from_ref", "from_id", "to_kind", "to_ref", "to_id", "comment"))
+EXT_REF = _struct(doc_id=T.StringType(), pos=_LONG, **_texts("doc_ref", "uri", "checksum_alg", "checksum_value"))
+DIAGNOSTIC = _struct(doc_id=T.StringType(), seq=_LONG, **_texts("severity", "code", "message"), line=_LONG)
+BINDING = _struct(**_texts("doc_id", "doc_ref", "target_doc_id"))
 
 TABLES = {"document": DOCUMENT, "element": ELEMENT, "relationship": RELATIONSHIP, "ext_ref": EXT_REF, "diagnostic": DIAGNOSTIC, "binding": BINDING}
 

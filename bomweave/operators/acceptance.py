@@ -37,8 +37,12 @@ def check(elements: DataFrame, delivered: DataFrame) -> DataFrame:
     joined = files.join(last, "key", "left")
     sums = F.transform("checksums", lambda c: F.struct(delivery_algorithm(c["algorithm"]).alias("a"), F.lower(c["value"]).alias("v")))
     joined = joined.withColumn("sums", sums)
-    tried = [F.struct(F.lit(a).alias("a"), F.get(F.filter("sums", lambda c, a=a: c["a"] == a), F.lit(0))["v"].alias("declared"), F.lower(F.try_element_at("digests", F.lit(a))).alias("actual")) for a in STRENGTH]
-    hit = F.get(F.filter(F.array(*tried), lambda t: t["declared"].isNotNull() & t["actual"].isNotNull()), F.lit(0))
+
+    def tried(a: str) -> F.Column:
+        declared = F.get(F.filter("sums", lambda c: c["a"] == a), F.lit(0))["v"]
+        return F.struct(F.lit(a).alias("a"), declared.alias("declared"), F.lower(F.try_element_at("digests", F.lit(a))).alias("actual"))
+
+    hit = F.get(F.filter(F.array(*map(tried, STRENGTH)), lambda t: t["declared"].isNotNull() & t["actual"].isNotNull()), F.lit(0))
     joined = joined.withColumn("hit", hit)
     none = F.coalesce(F.size("checksums"), F.lit(0)) == 0
     verdict = F.when(F.col("digests").isNull(), "missing").when(none | F.col("hit").isNull(), "unverifiable").when(F.col("hit.actual") == F.col("hit.declared"), "match").otherwise("mismatch")

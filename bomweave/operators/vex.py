@@ -25,7 +25,7 @@ def element_keys(ws: Workspace) -> DataFrame:
 
 def candidates(statements: DataFrame) -> DataFrame:
     """Statements (cand_ord, vulnerability, status, ref, timestamp, ...) with the id and version that they match; others go."""
-    keyed = statements.where(F.col("status").isin(*STATUSES)).withColumn("k", match_key(F.col("ref"))).where("k is not null")
+    keyed = statements.where(F.col("status").isin(*STATUSES)).withColumn("k", F.explode(F.array_compact(F.array(match_key(F.col("ref"))))))
     return keyed.select("*", F.col("k.id").alias("id"), F.col("k.version").alias("match_version"), F.col("timestamp").try_cast("timestamp").alias("at")).drop("k")
 
 

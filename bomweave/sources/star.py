@@ -50,7 +50,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, size, key = F.col("p_name"), F.col("p_size").cast("string"), F.col("l_partkey")
     owner = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     rows = packages(spark, sf_dir).join(owner, F.col("l_suppkey") == F.col("s_suppkey"))
-    purl = F.when(key % 10 != 0, F.concat(F.lit("pkg:generic/"), "p_brand", F.lit("/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit("@"), size))
+    purl = F.when(key % 10 != 0, F.concat(F.lit("pkg:generic/"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")), F.lit("/"), F.replace(name, F.lit(" "), F.lit("-")), F.lit("@"), size))
     digest = F.concat(F.lit("d"), key.cast("string"), F.lit("-"), (F.col("l_suppkey") % 2).cast("string"))
     checksum = lambda alg, c: F.array(F.struct(F.lit(alg).alias("algorithm"), c.alias("value")))
     refs = F.when(key % 10 != 0, F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("category"), F.lit("purl").alias("type"), purl.alias("locator"))))
@@ -131,7 +131,7 @@ def vex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as statements: (vex_ord, cand_ord, vulnerability, status, ref, timestamp); clicks have a status of no meaning."""
     e = table(spark, sf_dir, "events")
     part = table(spark, sf_dir, "part")
-    product = F.concat(F.lit("pkg:generic/"), "p_brand", F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("@"), F.col("p_size").cast("string"))).otherwise(""))
+    product = F.concat(F.lit("pkg:generic/"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")), F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("@"), F.col("p_size").cast("string"))).otherwise(""))
     status = F.when(F.col("event_type") == "error", "affected").when(F.col("event_type") == "signup", "under_investigation").when(F.col("event_type") == "purchase", "fixed").when(F.col("event_type") == "view", "not_affected")
     rows = e.join(part, e.user_id == part.p_partkey).where("event_type <> 'click'")
     return rows.select(
@@ -148,12 +148,12 @@ SQL_VIEWS = {
  SELECT 'r' || r_regionkey AS doc_id, r_regionkey::BIGINT AS ord, r_name AS name, NULL::VARCHAR AS root FROM region UNION ALL
  SELECT 'n' || n_nationkey, n_nationkey + 1000, n_name, NULL FROM nation UNION ALL
  SELECT 's' || s_suppkey, s_suppkey + 1000000, s_name, (SELECT 'P' || min(l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey AND s_suppkey % 2 = 1) FROM supplier)""",
-    "element": """SELECT 's' || s AS doc_id, p AS pos, 'P' || p AS spdx_id, p_name AS name, p_size::VARCHAR AS version, CASE WHEN p % 10 <> 0 THEN 'pkg:generic/' || p_brand || '/' || replace(p_name, ' ', '-') || '@' || p_size END AS purl,
+    "element": """SELECT 's' || s AS doc_id, p AS pos, 'P' || p AS spdx_id, p_name AS name, p_size::VARCHAR AS version, CASE WHEN p % 10 <> 0 THEN 'pkg:generic/' || replace(p_brand, '#', '-') || '/' || replace(p_name, ' ', '-') || '@' || p_size END AS purl,
  CASE p % 6 WHEN 0 THEN 'NOASSERTION' WHEN 1 THEN 'NONE' ELSE s_name END AS supplier, CASE WHEN p % 3 = 1 THEN 'Organization: ' || p_brand END AS originator,
  CASE WHEN p % 5 = 0 THEN 'NOASSERTION' ELSE 'https://example.org/' || p END AS download_location, CASE flag WHEN 'A' THEN 'Apache-2.0' WHEN 'R' THEN 'MIT' ELSE 'NOASSERTION' END AS license_concluded,
  CASE WHEN p % 4 = 0 THEN 'BSD-3-Clause' END AS license_declared, CASE WHEN flag IN ('A', 'R') THEN CASE flag WHEN 'A' THEN 'Apache-2.0' ELSE 'MIT' END WHEN p % 4 = 0 THEN 'BSD-3-Clause' END AS license, p_type AS purpose,
  CASE p % 3 WHEN 0 THEN 'SHA256' WHEN 1 THEN 'SHA1' END AS alg, CASE p % 3 WHEN 0 THEN sha256('d' || p || '-' || s % 2) WHEN 1 THEN sha1('d' || p || '-' || s % 2) END AS digest, s AS suppkey,
- CASE WHEN p % 10 <> 0 THEN 'purl:pkg:generic/' || p_brand || '/' || replace(p_name, ' ', '-') ELSE 'name:' || lower(p_name) END AS key FROM pk JOIN part ON p = p_partkey JOIN supplier ON s = s_suppkey""",
+ CASE WHEN p % 10 <> 0 THEN 'purl:pkg:generic/' || replace(p_brand, '#', '-') || '/' || replace(p_name, ' ', '-') ELSE 'name:' || lower(p_name) END AS key FROM pk JOIN part ON p = p_partkey JOIN supplier ON s = s_suppkey""",
     "ext_ref": """SELECT 'r' || n_regionkey AS doc_id, n_nationkey::BIGINT AS pos, 'DocumentRef-n' || n_nationkey AS doc_ref, 'urn:td:n' || n_nationkey AS uri, NULL AS sum FROM nation UNION ALL
  SELECT 'n' || s_nationkey, s_suppkey, 'DocumentRef-s' || s_suppkey, 'https://example.org/s' || s_suppkey || '.spdx.json', CASE WHEN s_suppkey % 7 = 3 THEN sha1('bad' || s_suppkey) ELSE sha1('urn:td:s' || s_suppkey) END FROM supplier UNION ALL
  SELECT 'n' || n_nationkey, 1000000000, 'DocumentRef-scan-' || n_nationkey, 'https://example.org/scan/' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.json' ELSE '.pdf' END, NULL FROM nation""",
@@ -164,7 +164,7 @@ SQL_VIEWS = {
  SELECT 's' || s, p * 10 + 2, 'DEPENDS_ON', 'local', 'P' || p, 'external', 'DocumentRef-unknown', 'X' FROM pk WHERE p % 97 = 0""",
     "binding": """SELECT 'n' || s_nationkey AS doc_id, 'DocumentRef-s' || s_suppkey AS doc_ref, 's' || s_suppkey AS target FROM supplier WHERE s_suppkey % 14 = 3""",
     "candidate": """SELECT event_id AS ord, 'CVE-2024-' || event_id % 40 AS vulnerability, CASE event_type WHEN 'error' THEN 'affected' WHEN 'signup' THEN 'under_investigation' WHEN 'purchase' THEN 'fixed' ELSE 'not_affected' END AS status,
- 'generic/' || lower(p_brand) || '/' || replace(p_name, ' ', '-') AS id, CASE WHEN event_id % 3 <> 0 THEN p_size::VARCHAR END AS version, CASE WHEN event_id % 19 <> 0 THEN date_trunc('second', ts) END AS at
+ 'generic/' || lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') AS id, CASE WHEN event_id % 3 <> 0 THEN p_size::VARCHAR END AS version, CASE WHEN event_id % 19 <> 0 THEN date_trunc('second', ts) END AS at
  FROM events JOIN part ON user_id = p_partkey WHERE event_type <> 'click'""",
 }
 
