@@ -38,7 +38,7 @@ FILE_RECORDS = 1_000
 SALTS = 16
 SEPARATOR = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
-RECORD_SCHEMA = "record_id string, number int, type string, page string, refers_to string, digest string, total long, block binary"
+RECORD_SCHEMA = "record_id string, number int, type string, page string, refers_to string, digest string, total long, deflated binary"
 
 
 class BadRecord(ValueError):
@@ -156,7 +156,10 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under path as a row; a continuation has the id of the record that it continues."""
+    """Every record under path as a row; a continuation has the id of the record that it continues.
+
+    Blocks are deflated, since they are shuffled next.
+    """
 
     def rows(data: bytes) -> Iterator[dict[str, object]]:
         for h, block in parse(data):
@@ -164,10 +167,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             yield {
                 "record_id": h.get("warc-segment-origin-id") or h.get("warc-record-id"), "number": int(number) if number else 0, "type": h.get("warc-type"),
                 "page": (m := re.match(r"<urn:page:(-?\d+):", h.get("warc-record-id", ""))) and m[1], "refers_to": (m := re.match(r"<urn:page:(-?\d+)>", h.get("warc-refers-to", ""))) and m[1],
-                "digest": h.get("warc-payload-digest", "").removeprefix("sha256:") or None, "total": int(total) if total else None, "block": block,
+                "digest": h.get("warc-payload-digest", "").removeprefix("sha256:") or None, "total": int(total) if total else None, "deflated": zlib.compress(block, 1),
             }
 
-    schema = pa.schema([("record_id", pa.string()), ("number", pa.int32()), ("type", pa.string()), ("page", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("total", pa.int64()), ("block", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("number", pa.int32()), ("type", pa.string()), ("page", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("total", pa.int64()), ("deflated", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +178,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                 held, size = [], 0
                 for row in rows(data.as_py()):
                     held.append(row)
-                    size += len(row["block"])
+                    size += len(row["deflated"])
                     if size >= 8 << 20:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
@@ -208,7 +211,7 @@ def reassemble(found: DataFrame) -> DataFrame:
 
     Segments meet by origin identifier; a group holds the segments of one record. A segment that occurs twice counts once.
     """
-    segment = F.struct("number", "block")
+    segment = F.struct("number", "deflated")
     whole = found.groupBy("record_id").agg(
         F.max(F.when(F.col("type") != "continuation", F.struct("type", "page", "refers_to", "digest"))).alias("own"), F.max("total").alias("total"),
         F.array_sort(F.collect_set(segment)).alias("segments"),
@@ -220,12 +223,12 @@ def reassemble(found: DataFrame) -> DataFrame:
         try:
             if type is None:
                 raise BadRecord("the record that segments continue is missing")
-            n, payload = payload_of(type, total, [(s["number"], s["block"]) for s in segments])
+            n, payload = payload_of(type, total, [(s["number"], zlib.decompress(s["deflated"])) for s in segments])
             own = digest if payload is None else hashlib.sha256(payload).hexdigest()
             if digest and own != digest:
                 raise BadRecord("the payload isn't that of the recorded digest")
             return out | {"length": n, "digest": own, "payload": payload}
-        except (BadRecord, KeyError, ValueError) as e:
+        except (BadRecord, KeyError, ValueError, zlib.error) as e:
             return out | {"problem": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
