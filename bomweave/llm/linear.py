@@ -60,9 +60,9 @@ def _separation(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.
 def fit_logistic(x: list[np.ndarray], values: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of a logistic regression by accelerated gradient steps; x: the features that each row has."""
     sizes = np.array([len(a) for a in x])
-    flat = np.concatenate([*x, np.empty(0, int)]).astype(int)
-    row = np.repeat(np.arange(len(x)), sizes)
-    scaled = values[flat]
+    flat = np.concatenate([*x, np.empty(0, np.int32)])
+    row = np.repeat(np.arange(len(x), dtype=np.int32), sizes)
+    scaled = values.astype(np.float32)[flat]
     norms = np.bincount(row, scaled**2, len(x)) + 1
     rate = 1 / (0.25 * float((weight * norms).sum()) / 4 + l2)
     w = v = np.zeros(len(values))
@@ -111,7 +111,7 @@ class GramModel:
                 h = h[self._find[h >> np.uint64(64 - FIND_BITS)]]
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 found.append(at[self.hashes[at] == h])
-        return np.unique(np.concatenate(found)) if found else np.empty(0, int)
+        return np.unique(np.concatenate(found)).astype(np.int32) if found else np.empty(0, np.int32)
 
     def logit(self, text: str | None) -> float:
         at = self.features(text)
@@ -128,15 +128,21 @@ class GramModel:
         z = _separation(counts[1], counts[0], n_pos, n_neg)
         top = 2 * MAX_FEATURES
         rough = z >= max(np.partition(z, -top)[-top], 1e-9)
-        hashes, labels = [], []
+        del counts, z
+        kept: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         for text, label in zip(texts, y.tolist(), strict=True):
-            own = np.unique(np.concatenate([h[rough[h >> shift]] for h in grams(text or "", self.sizes, self.fold)] or [np.empty(0, np.uint64)]))
-            hashes.append(own)
-            labels.append(np.full(len(own), label))
-        flat = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        own, inverse = np.unique(flat, return_inverse=True)
-        pos = np.bincount(inverse, np.concatenate([*labels, np.empty(0)]), len(own)) if len(own) else np.empty(0)
-        neg = (np.bincount(inverse, minlength=len(own)) if len(own) else np.empty(0)) - pos
+            kept[int(label)].append(np.unique(np.concatenate([h[rough[h >> shift]] for h in grams(text or "", self.sizes, self.fold)] or [np.empty(0, np.uint64)])))
+        own, both = np.empty(0, np.uint64), []
+        for part in kept:  # sorted in place and counted by label: no inverse of the size of all occurrences
+            flat = np.concatenate([*part, np.empty(0, np.uint64)])
+            part.clear()
+            flat.sort()
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, int)
+            both.append((flat[first], np.diff(np.append(first, len(flat)))))
+            own = np.union1d(own, flat[first])
+        neg, pos = (np.zeros(len(own)), np.zeros(len(own)))
+        for values, (found, n) in zip((neg, pos), both, strict=True):
+            values[np.searchsorted(own, found)] = n
         z = _separation(pos, neg, n_pos, n_neg)
         best = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES])
         best = best[z[best] > 0]
