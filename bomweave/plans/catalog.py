@@ -232,7 +232,7 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Three levels, so the one pass of barycenters is three windows.
 _LANES = f"""{_LEVEL},
-item AS (SELECT 'd:' || doc_id AS key, 'doc' AS kind, doc_id, NULL AS doc_ref, level, 0 AS s, ord, 0 AS pos FROM lvl JOIN document USING (doc_id)
+item AS (SELECT 'd:' || doc_id AS key, 'doc' AS kind, doc_id, NULL::VARCHAR AS doc_ref, level, 0 AS s, ord, 0 AS pos FROM lvl JOIN document USING (doc_id)
  UNION ALL SELECT 's:' || r.doc_id || ':' || r.doc_ref, 'stub', r.doc_id, r.doc_ref, level + 1, 1, ord, r.pos FROM res r JOIN lvl USING (doc_id) JOIN document USING (doc_id) WHERE target IS NULL AND structural),
 idx AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY s, ord, pos) - 1 AS i FROM item),
 par AS (SELECT 'd:' || dst AS key, 'd:' || src AS up FROM edge UNION ALL SELECT key, 'd:' || doc_id FROM item WHERE kind = 'stub'),
@@ -284,7 +284,7 @@ def structural_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOPS = """below AS (SELECT doc_id, to_id AS spdx_id FROM relationship WHERE type IN ('CONTAINS', 'DEPENDS_ON') AND to_kind = 'local' UNION SELECT doc_id, from_id FROM relationship WHERE type IN ('DEPENDENCY_OF', 'CONTAINED_BY')),
 free AS (SELECT doc_id, spdx_id, pos, min(pos) OVER (PARTITION BY doc_id) AS least, NOT EXISTS (SELECT 1 FROM below b WHERE b.doc_id = e.doc_id AND b.spdx_id = e.spdx_id) AS free FROM element e),
-tops AS (SELECT doc_id, root AS spdx_id FROM document WHERE root IS NOT NULL UNION ALL SELECT doc_id, spdx_id FROM (SELECT *, bool_or(free) OVER (PARTITION BY doc_id) AS some FROM free) JOIN document d USING (doc_id) WHERE d.root IS NULL AND (free OR (NOT some AND pos = least)))"""
+tops AS (SELECT doc_id, root AS spdx_id FROM document WHERE root IS NOT NULL UNION ALL SELECT doc_id, spdx_id FROM (SELECT *, bool_or(free) OVER (PARTITION BY doc_id) AS any_free FROM free) JOIN document d USING (doc_id) WHERE d.root IS NULL AND (free OR (NOT any_free AND pos = least)))"""
 
 
 def _tree_sql(body: str) -> str:
@@ -299,7 +299,7 @@ def doc_root_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHILD = """,
 near AS (SELECT doc_id, type, rel_index, CASE WHEN type IN ('CONTAINED_BY', 'DEPENDENCY_OF') THEN to_id ELSE from_id END AS parent_id, CASE WHEN type IN ('CONTAINED_BY', 'DEPENDENCY_OF') THEN 'local' ELSE to_kind END AS kind, to_ref AS ref, CASE WHEN type IN ('CONTAINED_BY', 'DEPENDENCY_OF') THEN from_id ELSE to_id END AS id FROM relationship),
-child AS (SELECT n.doc_id, parent_id, n.doc_id AS child_doc, id AS child_id, type, NULL AS placeholder_ref FROM near n SEMI JOIN element e ON e.doc_id = n.doc_id AND e.spdx_id = n.id WHERE kind = 'local' AND id <> parent_id
+child AS (SELECT n.doc_id, parent_id, n.doc_id AS child_doc, id AS child_id, type, NULL::VARCHAR AS placeholder_ref FROM near n SEMI JOIN element e ON e.doc_id = n.doc_id AND e.spdx_id = n.id WHERE kind = 'local' AND id <> parent_id
  UNION ALL SELECT n.doc_id, parent_id, t.doc_id, t.spdx_id, type, NULL FROM near n JOIN res r ON r.doc_id = n.doc_id AND r.doc_ref = n.ref JOIN tops t ON t.doc_id = r.target WHERE kind = 'external'
  UNION ALL SELECT n.doc_id, parent_id, NULL, NULL, type, ref FROM near n LEFT JOIN res r ON r.doc_id = n.doc_id AND r.doc_ref = n.ref WHERE kind = 'external' AND r.target IS NULL)"""
 
@@ -425,8 +425,8 @@ def profile_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Vulnerability statements
 
 _VEX = """keyed AS (SELECT doc_id, spdx_id, 'generic/' || lower(split_part(purl, '/', 2)) || '/' || split_part(split_part(purl, '/', 3), '@', 1) AS id, version FROM element WHERE purl IS NOT NULL),
-hit AS (SELECT DISTINCT k.doc_id, k.spdx_id, c.ord, c.vulnerability, c.status, c.at FROM keyed k JOIN candidate c ON c.id = k.id AND (c.version IS NULL OR c.version = k.version)),
-found AS (SELECT doc_id, spdx_id, vulnerability, status, ord AS cand_ord, n - 1 AS superseded FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY at DESC NULLS LAST, ord DESC) AS k FROM hit WINDOW w AS (PARTITION BY doc_id, spdx_id, vulnerability)) WHERE k = 1),
+hit AS (SELECT DISTINCT k.doc_id, k.spdx_id, c.ord, c.vulnerability, c.status, c.stamp FROM keyed k JOIN candidate c ON c.id = k.id AND (c.version IS NULL OR c.version = k.version)),
+found AS (SELECT doc_id, spdx_id, vulnerability, status, ord AS cand_ord, n - 1 AS superseded FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, spdx_id, vulnerability) AS n, row_number() OVER (PARTITION BY doc_id, spdx_id, vulnerability ORDER BY stamp DESC NULLS LAST, ord DESC) AS k FROM hit) WHERE k = 1),
 ranked AS (SELECT *, list_position(['affected', 'under_investigation', 'fixed', 'not_affected'], status) AS rank FROM found),
 worst AS (SELECT doc_id, spdx_id, arg_min(status, rank) AS worst, string_agg(vulnerability || ' (' || status || ')', '; ' ORDER BY rank, vulnerability) AS cells FROM ranked GROUP BY doc_id, spdx_id)"""
 _VEX_VIEWS = ("pk", "element", "document", "candidate")

@@ -154,17 +154,17 @@ SQL_VIEWS = {
  CASE WHEN p % 4 = 0 THEN 'BSD-3-Clause' END AS license_declared, CASE WHEN flag IN ('A', 'R') THEN CASE flag WHEN 'A' THEN 'Apache-2.0' ELSE 'MIT' END WHEN p % 4 = 0 THEN 'BSD-3-Clause' END AS license, p_type AS purpose,
  CASE p % 3 WHEN 0 THEN 'SHA256' WHEN 1 THEN 'SHA1' END AS alg, CASE p % 3 WHEN 0 THEN sha256('d' || p || '-' || s % 2) WHEN 1 THEN sha1('d' || p || '-' || s % 2) END AS digest, s AS suppkey,
  CASE WHEN p % 10 <> 0 THEN 'purl:pkg:generic/' || replace(p_brand, '#', '-') || '/' || replace(p_name, ' ', '-') ELSE 'name:' || lower(p_name) END AS key FROM pk JOIN part ON p = p_partkey JOIN supplier ON s = s_suppkey""",
-    "ext_ref": """SELECT 'r' || n_regionkey AS doc_id, n_nationkey::BIGINT AS pos, 'DocumentRef-n' || n_nationkey AS doc_ref, 'urn:td:n' || n_nationkey AS uri, NULL AS sum FROM nation UNION ALL
+    "ext_ref": """SELECT 'r' || n_regionkey AS doc_id, n_nationkey::BIGINT AS pos, 'DocumentRef-n' || n_nationkey AS doc_ref, 'urn:td:n' || n_nationkey AS uri, NULL::VARCHAR AS sum FROM nation UNION ALL
  SELECT 'n' || s_nationkey, s_suppkey, 'DocumentRef-s' || s_suppkey, 'https://example.org/s' || s_suppkey || '.spdx.json', CASE WHEN s_suppkey % 7 = 3 THEN sha1('bad' || s_suppkey) ELSE sha1('urn:td:s' || s_suppkey) END FROM supplier UNION ALL
  SELECT 'n' || n_nationkey, 1000000000, 'DocumentRef-scan-' || n_nationkey, 'https://example.org/scan/' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.json' ELSE '.pdf' END, NULL FROM nation""",
-    "relationship": """SELECT 'r' || n_regionkey AS doc_id, n_nationkey::BIGINT AS rel_index, 'DESCRIBES' AS type, 'local' AS from_kind, 'SPDXRef-DOCUMENT' AS from_id, 'external' AS to_kind, 'DocumentRef-n' || n_nationkey AS to_ref, NULL AS to_id FROM nation UNION ALL
+    "relationship": """SELECT 'r' || n_regionkey AS doc_id, n_nationkey::BIGINT AS rel_index, 'DESCRIBES' AS type, 'local' AS from_kind, 'SPDXRef-DOCUMENT' AS from_id, 'external' AS to_kind, 'DocumentRef-n' || n_nationkey AS to_ref, NULL::VARCHAR AS to_id FROM nation UNION ALL
  SELECT 'n' || s_nationkey, s_suppkey, 'DESCRIBES', 'local', 'SPDXRef-DOCUMENT', 'external', 'DocumentRef-s' || s_suppkey, NULL FROM supplier UNION ALL
  SELECT 's' || s, p * 10, CASE p % 4 WHEN 0 THEN 'CONTAINS' WHEN 1 THEN 'DEPENDENCY_OF' WHEN 2 THEN 'DEPENDS_ON' ELSE 'CONTAINED_BY' END, 'local', 'P' || CASE WHEN p % 2 = 0 THEN p // 10 ELSE p END, 'local', NULL, 'P' || CASE WHEN p % 2 = 0 THEN p ELSE p // 10 END FROM pk UNION ALL
  SELECT 's' || s, p * 10 + 1, 'DEPENDS_ON', 'local', 'P' || p, 'special', NULL, 'NOASSERTION' FROM pk WHERE p % 50 = 0 UNION ALL
  SELECT 's' || s, p * 10 + 2, 'DEPENDS_ON', 'local', 'P' || p, 'external', 'DocumentRef-unknown', 'X' FROM pk WHERE p % 97 = 0""",
     "binding": """SELECT 'n' || s_nationkey AS doc_id, 'DocumentRef-s' || s_suppkey AS doc_ref, 's' || s_suppkey AS target FROM supplier WHERE s_suppkey % 14 = 3""",
     "candidate": """SELECT event_id AS ord, 'CVE-2024-' || event_id % 40 AS vulnerability, CASE event_type WHEN 'error' THEN 'affected' WHEN 'signup' THEN 'under_investigation' WHEN 'purchase' THEN 'fixed' ELSE 'not_affected' END AS status,
- 'generic/' || lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') AS id, CASE WHEN event_id % 3 <> 0 THEN p_size::VARCHAR END AS version, CASE WHEN event_id % 19 <> 0 THEN date_trunc('second', ts) END AS at
+ 'generic/' || lower(replace(p_brand, '#', '-')) || '/' || replace(p_name, ' ', '-') AS id, CASE WHEN event_id % 3 <> 0 THEN p_size::VARCHAR END AS version, CASE WHEN event_id % 19 <> 0 THEN date_trunc('second', ts) END AS stamp
  FROM events JOIN part ON user_id = p_partkey WHERE event_type <> 'click'""",
 }
 
