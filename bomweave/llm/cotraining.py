@@ -149,11 +149,10 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     dice = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30))
     drawn = known.where(may_learn & (dice(_SEED) < min(1.0, MAX_LABELLED / sum(n.values())) * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    labelled = rows.join(F.broadcast(drawn), "id")
     others = rows.select("id").where(may_learn & F.col("id").isNotNull()).join(known.select("id"), "id", "left_anti")
     n_others = others.count()
-    pool = others.where(dice(_SEED + 1) < min(1.0, MAX_POOL / max(n_others, 1)) * (1 << 30)).distinct()
-    unlabelled = rows.join(F.broadcast(pool), "id").withColumn("label", F.lit(None).cast("int"))
+    pool = others.where(dice(_SEED + 1) < min(1.0, MAX_POOL / max(n_others, 1)) * (1 << 30)).distinct().withColumn("label", F.lit(None).cast("int"))
+    chosen = rows.join(F.broadcast(drawn.unionByName(pool)), "id")  # bounded by MAX_LABELLED and MAX_POOL; one scan of the texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["id"], r["text"] or ""))
@@ -165,8 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
         model = CoTrained([*map(row, fit)], y(fit), [row(r) for r in found if r["label"] is None], [*map(row, check)], y(check))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    both = labelled.unionByName(unlabelled).select("id", "text", "lang", "source", "n_chars", "label")
-    return pickle.loads(both.repartition(1).mapInArrow(run, "model binary").first().model)
+    return pickle.loads(chosen.select("id", "text", "lang", "source", "n_chars", "label").repartition(1).mapInArrow(run, "model binary").first().model)
 
 
 def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep: float = KEEP) -> DataFrame:

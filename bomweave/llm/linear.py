@@ -125,7 +125,9 @@ class GramModel:
         for text, label in zip(texts, y.tolist(), strict=True):
             seen = np.unique(np.concatenate([h >> shift for h in grams(text or "", self.sizes, self.fold)] or [np.empty(0, np.uint64)]))
             counts[int(label), seen] += 1
-        z = _separation(counts[1], counts[0], n_pos, n_neg)
+        z = np.empty(1 << COUNT_BITS, np.float32)
+        for at in range(0, len(z), 1 << 18):  # in parts, for the memory of what lies between
+            z[at : at + (1 << 18)] = _separation(counts[1, at : at + (1 << 18)], counts[0, at : at + (1 << 18)], n_pos, n_neg)
         top = 2 * MAX_FEATURES
         rough = z >= max(np.partition(z, -top)[-top], 1e-9)
         del counts, z
