@@ -15,7 +15,7 @@ never learned from. Predictions read the text only.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ SEED = 20_240
 PER_LANGUAGE, MAX_LANGUAGES = 2_000, 1_000
 #: Trigram vectors that a worker keeps; letters of a text that are bundled at once; and texts at once.
 KEPT_TRIGRAMS, BLOCK, TEXTS = 24_576, 1 << 19, 64
+#: Trigram vectors, and counts, that one multiplication takes.
+PART, COUNTS = 2_048, 1 << 20
 #: Cosine under which keep() rejects a document: three deviations of what random letters reach.
 MIN_COSINE = 0.1
 UNKNOWN = "und"
@@ -37,7 +39,7 @@ _SCALE = float(1 << 30)
 
 
 class Trigrams:
-    """Letter trigrams of texts, and their vectors."""
+    """Letter trigrams of texts, and their vectors: one a task, so that no worker holds them longer."""
 
     def __init__(self) -> None:
         self.letters: dict[int, np.ndarray] = {}
@@ -118,25 +120,15 @@ class Trigrams:
             seen, codes = np.unique(codes, return_inverse=True)
         g = len(seen)
         named = letters[seen // (k * k)] << 42 | letters[seen // k % k] << 21 | letters[seen % k]
-        for at in range(0, len(rows), max(1, (1 << 22) // max(g, 1))):  # counts of few rows at once where there are many trigrams
-            to = min(len(rows), at + max(1, (1 << 22) // max(g, 1)))
+        for at in range(0, len(rows), max(1, COUNTS // max(g, 1))):  # counts of few rows at once where there are many trigrams
+            to = min(len(rows), at + max(1, COUNTS // max(g, 1)))
             here = slice(*np.searchsorted(row, [at, to]))
             counts = np.bincount((row[here] - at) * g + codes[here], minlength=(to - at) * g).reshape(to - at, g).astype(np.float32)
-            for part in range(0, g, KEPT_TRIGRAMS // 2):
-                own = slice(part, part + KEPT_TRIGRAMS // 2)
+            for part in range(0, g, PART):
+                own = slice(part, part + PART)
                 np.add.at(out, [i for i, _ in rows[at:to]], counts[:, own] @ self.matrix(named[own]))
 
 
-_TRIGRAMS: list[Trigrams] = []
-
-
-def trigrams() -> Trigrams:
-    """The worker's own, built once a process."""
-    if not _TRIGRAMS:
-        _TRIGRAMS.append(Trigrams())
-    return _TRIGRAMS[0]
-
-
 def _unit(vectors: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors / np.where(norm > 0, norm, 1)
@@ -149,9 +141,9 @@ class Profiles:
         self.languages = languages
         self.prototypes = _unit(prototypes.astype(np.float64)).astype(np.float32)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None], trigrams: Trigrams) -> tuple[list[str], np.ndarray]:
         """The language of each text and the cosine with its prototype."""
-        own = _unit(trigrams().bundles(texts))
+        own = _unit(trigrams.bundles(texts))
         if not self.languages or not len(own):
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         cosines = own @ self.prototypes.T
@@ -178,9 +170,10 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        trigrams = Trigrams()
         for batch in batches:
             for texts, langs in zip(_slices(batch.column(0)), _slices(batch.column(1)), strict=True):
-                whole = np.rint(_unit(trigrams().bundles(texts).astype(np.float64)) * _SCALE).astype(np.int64)
+                whole = np.rint(_unit(trigrams.bundles(texts).astype(np.float64)) * _SCALE).astype(np.int64)
                 for lang, own in zip(langs, whole, strict=True):
                     sums[lang] = sums.get(lang, 0) + own
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "sums"])
@@ -199,10 +192,11 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trigrams = Trigrams()
         for batch in batches:
             langs, scores = [], []
             for texts in _slices(batch.column(1)):
-                own, score = shared.value.predict(texts)
+                own, score = shared.value.predict(texts, trigrams)
                 langs += own
                 scores += score.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
@@ -217,13 +211,14 @@ def keep(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: flo
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     at = docs.columns.index(text_col)
 
-    def kept(texts: Iterable[str | None]) -> list[bool]:
-        langs, scores = shared.value.predict([*texts])
+    def kept(texts: list[str | None], trigrams: Trigrams) -> list[bool]:
+        langs, scores = shared.value.predict(texts, trigrams)
         return [x != UNKNOWN and s >= least for x, s in zip(langs, scores.tolist(), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trigrams = Trigrams()
         for batch in batches:
-            mask = [k for texts in _slices(batch.column(at)) for k in kept(texts)]
+            mask = [k for texts in _slices(batch.column(at)) for k in kept(texts, trigrams)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

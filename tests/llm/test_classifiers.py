@@ -118,7 +118,7 @@ def test_language_cases(spark):
     kept = language_id.keep(docs, profiles)
     assert kept.columns == docs.columns and not letterless & {r.doc_id for r in kept.collect()}
     empty = documents(spark, [])
-    assert language_id.learn(empty, language_id.may_learn()).predict(["a"])[0] == ["und"] and language_id.predict(empty, profiles).count() == 0
+    assert language_id.learn(empty, language_id.may_learn()).predict(["a"], language_id.Trigrams())[0] == ["und"] and language_id.predict(empty, profiles).count() == 0
 
 
 def auc(score, y):
