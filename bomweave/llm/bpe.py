@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from bomweave.llm.common import map_batches
+
 #: Words whose encoding a Python worker keeps; the store is emptied when it is full.
 KEPT_WORDS = 1_000_000
 #: Symbols from which a fragment is merged with a heap.
@@ -236,4 +238,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return map_batches(chosen, run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)

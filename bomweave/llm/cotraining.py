@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bomweave.llm.common import map_batches
 from bomweave.llm.linear import BLOCK, GramModel, fit_dense, sigmoid
 
 MAX_LABELLED, MAX_POOL = 1_600, 1_600
@@ -164,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
         model = CoTrained([*map(row, fit)], y(fit), [row(r) for r in found if r["label"] is None], [*map(row, check)], y(check))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(chosen.select("id", "text", "lang", "source", "n_chars", "label").repartition(1).mapInArrow(run, "model binary").first().model)
+    return pickle.loads(map_batches(chosen.select("id", "text", "lang", "source", "n_chars", "label").repartition(1), run, "model binary").first().model)
 
 
 def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep: float = KEEP) -> DataFrame:
@@ -183,5 +184,5 @@ def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
     kind = chosen.schema["id"].dataType.simpleString()
-    scored = chosen.mapInArrow(run, f"id {kind}, content_score double, metadata_score double, score double")
+    scored = map_batches(chosen, run, f"id {kind}, content_score double, metadata_score double, score double")
     return scored.withColumn("kept", F.col("score") >= keep).withColumnRenamed("id", id_col)

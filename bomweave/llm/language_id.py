@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bomweave.llm.common import map_batches
+
 DIMENSIONS = 1024
 SEED = 20_240
 #: Documents of a language that a prototype is learned from, about, at most; and languages, at most, the most frequent first.
@@ -182,7 +184,7 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
         whole = sum(np.frombuffer(b, np.int64) for b in group["sums"])
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "sums": [np.asarray(whole, np.int64).tobytes()]})
 
-    parts = drawn.select("text", "lang").mapInArrow(run, "lang string, sums binary")
+    parts = map_batches(drawn.select("text", "lang"), run, "lang string, sums binary")
     whole = sorted(parts.groupBy("lang").applyInPandas(add, "lang string, sums binary").collect(), key=lambda r: r.lang)
     return Profiles([r.lang for r in whole], np.array([np.frombuffer(r.sums, np.int64) for r in whole]).reshape(-1, DIMENSIONS))
 
@@ -203,7 +205,7 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_batches(chosen, run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def keep(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = MIN_COSINE) -> DataFrame:
@@ -221,7 +223,7 @@ def keep(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: flo
             mask = [k for texts in _slices(batch.column(at)) for k in kept(texts, trigrams)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def may_learn(id_col: str = "doc_id", folds: int = 5, held_out: int = 0) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomweave.llm.bpe import encoder, read_tokenizer
-from bomweave.llm.common import materialize
+from bomweave.llm.common import map_batches, materialize
 
 #: Buckets among which the pieces of one length are dealt for ranking.
 BUCKETS = 64
@@ -137,7 +137,7 @@ def cut(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, id_col: st
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return map_batches(chosen, run, f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -173,4 +173,4 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
 
     out = [c for c in pieces.columns if c != "bucket"]
     schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in out)
-    return ranked.select(*out, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return map_batches(ranked.select(*out, "rank"), place, f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import materialize, shuffle_partitions, unused
+from bomweave.llm.common import map_batches, materialize, shuffle_partitions, unused
 
 #: Points that one cell may hold before it is cut into shells.
 CELL_LIMIT = 8192
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(own)], ["id", "fp"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, fp long")
+    return map_batches(chosen, run, f"id {chosen.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -262,7 +262,7 @@ def edges(points: DataFrame, radius: int = 4, cell_limit: int = CELL_LIMIT) -> D
         kept = dealt.join(hot.select("cell"), "cell", "left_anti")
         cells = kept.unionByName(_shells(dealt, hot, radius, cell_limit))
     spread = cells.repartition(shuffle_partitions(spark), "cell").sortWithinPartitions("cell", "fp").select("cell", "fp")
-    return spread.mapInArrow(edges_of_cells(radius), "a long, b long")
+    return map_batches(spread, edges_of_cells(radius), "a long, b long")
 
 
 def _shells(dealt: DataFrame, hot: DataFrame, radius: int, limit: int) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bomweave.llm.common import map_batches
 from bomweave.llm.linear import GramModel, sigmoid
 
 MAX_TOXIC, MAX_CLEAN = 1_500, 3_000
@@ -50,7 +51,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
         model = GramModel(SIZES, True).fit([t for *_, t in found], y, weight / max(weight.mean(), 1e-9) if len(weight) else weight)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    fitted = rows.select("id", "text", "label").repartition(1).mapInArrow(run, "model binary").first()
+    fitted = map_batches(rows.select("id", "text", "label").repartition(1), run, "model binary").first()
     return pickle.loads(fitted.model) if fitted else None
 
 
@@ -66,4 +67,4 @@ def score(docs: DataFrame, model: GramModel | None, id_col: str = "doc_id", text
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return map_batches(chosen, run, f"id {kind}, score double").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import new_path
+from bomweave.llm.common import map_batches, new_path
 
 #: Most bytes of a block in one record.
 SEGMENT_BYTES = 65_536
@@ -127,7 +127,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                         held, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
 
-    records = found.select("page", "row", "url", "payload", "digest", refers_to.alias("refers_to")).mapInArrow(run, "record binary")
+    records = map_batches(found.select("page", "row", "url", "payload", "digest", refers_to.alias("refers_to")), run, "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))  # the cast keeps the bytes as they are
     text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -184,7 +184,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
+    return map_batches(spark.read.format("binaryFile").load(path).select("content"), run, RECORD_SCHEMA)
 
 
 def payload_of(kind: str, total: int | None, segments: list[tuple[int, bytes]]) -> tuple[int, bytes | None]:
@@ -242,7 +242,7 @@ def reassemble(found: DataFrame) -> DataFrame:
                     held, size = [], 0
             yield pa.RecordBatch.from_pylist(held, schema)
 
-    return whole.mapInArrow(run, "page string, type string, refers_to string, length long, digest string, payload binary, problem string")
+    return map_batches(whole, run, "page string, type string, refers_to string, length long, digest string, payload binary, problem string")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
