@@ -139,13 +139,17 @@ class Forest:
             if doc_id in self._root_ids and spdx_id in self._elements(doc_id):
                 return (node_key("document", doc_id), *reversed(climb))
             rows = self.children_of.where((F.col("child_doc") == doc_id) & (F.col("child_id") == spdx_id)).orderBy("rule", "doc_id", "rel_index").collect()
-            owner = next(((r.doc_id, r.parent_id) for r in rows if (r.doc_id, r.parent_id) not in seen), None)
+            above = {r.doc_id: r.spdx_id for r in self.ws.document.where(F.col("doc_id").isin(*{r.doc_id for r in rows})).select("doc_id", "spdx_id").collect()} if rows else {}
+            owner = None
+            for r in rows:
+                if above.get(r.doc_id) != r.parent_id:
+                    owner = owner or ((r.doc_id, r.parent_id) if (r.doc_id, r.parent_id) not in seen else None)
+                elif r.doc_id in self._root_ids and owner is None:  # the document itself is the parent
+                    return (node_key("document", r.doc_id), *reversed(climb))
             if owner is None:
                 return None
             seen.add(owner)
             doc_id, spdx_id = owner
-            if self.ws.document.where((F.col("doc_id") == doc_id) & (F.col("spdx_id") == spdx_id)).first():
-                return (node_key("document", doc_id), *reversed(climb)) if doc_id in self._root_ids else None
             climb.append(node_key("element", doc_id, spdx_id))
         return None
 
