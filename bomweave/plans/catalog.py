@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomweave.functions import identity
+from bomweave.functions import identity, text
 from bomweave.model import Workspace
 from bomweave.operators import acceptance, conflicts, graph, profile, quality, resolve, search, vex, workspace
-from bomweave.sources import star
+from bomweave.sources import export, files, star
 from bomweave.sources.star import sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -511,6 +511,100 @@ def namespace_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.renamed_ids(spark.createDataFrame([("en",)], "doc_id string"), batch).select("ord", "old_id", "doc_id")
 
 
+# Files written and read back
+
+
+def _parsed(spark: SparkSession, sf_dir: str, write: Callable[[Workspace], DataFrame]) -> DataFrame:
+    """Rows of parsed files, one a supplier's document."""
+    ws = _ws(spark, sf_dir)
+    return files.scan(write(ws).where("doc_id like 's%'").select("path", "content"))
+
+
+def _elements(rows: DataFrame) -> DataFrame:
+    e = rows.select(F.col("document.name").alias("doc_name"), F.explode("elements").alias("e")).select("doc_name", "e.*")
+    return e.select("doc_name", "spdx_id", "name", "version", "purl", "supplier")
+
+
+_BACK = "SELECT d.name AS doc_name, spdx_id, e.name, version, purl, supplier FROM element e JOIN document d USING (doc_id)"
+
+
+@query("spdx_json_roundtrip", _with(("pk", "element", "document"), "", _BACK))
+def spdx_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, export.spdx_json))
+
+
+@query("tagvalue_roundtrip", _with(("pk", "element", "document"), "", _BACK))
+def tagvalue_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, export.tag_value))
+
+
+@query("cyclonedx_roundtrip", _with(("pk", "element", "document"), "", _BACK))
+def cyclonedx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, export.cyclonedx)).where("spdx_id <> 'document'")
+
+
+@query("relationships_roundtrip", _with(("pk", "relationship", "document"), "", "SELECT d.name AS doc_name, type, from_id, to_kind, to_ref, to_id FROM relationship r JOIN document d USING (doc_id) WHERE r.doc_id[1] = 's' UNION ALL SELECT name, 'DESCRIBES', 'SPDXRef-DOCUMENT', 'local', NULL, root FROM document WHERE root IS NOT NULL"))
+def relationships_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir, export.spdx_json)
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("relationships").alias("r")).select("doc_name", "r.type", "r.from_id", "r.to_kind", "r.to_ref", "r.to_id")
+
+
+@query("lint_spdx2", _with(("pk", "element", "document"), "", """SELECT name AS doc_name, 'SPDX2_SCHEMA_BAD_DATA_LICENSE' AS code FROM document WHERE doc_id[1] = 's' AND data_license IS NULL
+UNION ALL SELECT DISTINCT d.name, 'SPDX2_SCHEMA_BAD_PACKAGE_PURPOSE' FROM element e JOIN document d USING (doc_id) WHERE purpose NOT IN ('APPLICATION', 'ARCHIVE', 'CONTAINER', 'DEVICE', 'FILE', 'FIRMWARE', 'FRAMEWORK', 'INSTALL', 'LIBRARY', 'OPERATING_SYSTEM', 'OTHER', 'SOURCE')"""))
+def lint_spdx2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir, export.spdx_json)
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("diagnostics").alias("d")).where("d.code like '%\\_SCHEMA\\_%'").select("doc_name", "d.code")
+
+
+@query("unknown_docrefs", _with(("pk", "relationship", "document"), "", "SELECT DISTINCT d.name AS doc_name FROM relationship r JOIN document d USING (doc_id) WHERE to_ref = 'DocumentRef-unknown'"))
+def unknown_docrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir, export.spdx_json)
+    return rows.where(F.exists("diagnostics", lambda d: d["code"] == "REL_UNKNOWN_DOCREF")).select(F.col("document.name").alias("doc_name"))
+
+
+# Small rules
+
+
+@query("license_expr_errors")
+def license_expr_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions made of part names; the grammar nests, so there is no SQL for it."""
+    p = table(spark, sf_dir, "part")
+    word = lambda i: F.regexp_replace(F.get(F.split("p_name", " "), F.lit(i)), "[^A-Za-z0-9.-]", "")
+    joined = F.concat_ws(" AND ", word(0), word(1))
+    expression = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("("), joined)).when(F.col("p_partkey") % 4 == 1, F.replace(joined, F.lit("AND"), F.lit("and"))).otherwise(joined)
+    return p.select("p_partkey", expression.alias("expression"), text.license_expression_error(expression).alias("error"))
+
+
+@query("format_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n * 20 + 1024) // 2048 // 10 || '.' || (n * 20 + 1024) // 2048 % 10 || ' KB' ELSE (n * 20 + 1048576) // 2097152 // 10 || '.' || (n * 20 + 1048576) // 2097152 % 10 || ' MB' END AS shown FROM (SELECT doc_id, n_chars * n_chars // 7 * 1024 // 512 AS n FROM documents WHERE n_chars < 20000)")
+def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("n_chars < 20000").selectExpr("doc_id", "n_chars * n_chars div 7 * 1024 div 512 AS n")
+    return rows.select("doc_id", text.format_bytes(F.col("n")).alias("shown"))
+
+
+@query("version_tags", "SELECT p_partkey, p_size || '.0.build-' || p_partkey || '+x' AS tag, p_size || '.0+' || p_partkey || '+x' AS version FROM part")
+def version_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    version = F.concat(F.col("p_size").cast("string"), F.lit(".0+"), F.col("p_partkey").cast("string"), F.lit("+x"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.tag_from_version(version).alias("tag"))
+    return rows.withColumn("version", text.version_from_tag(F.col("tag")))
+
+
+@query("deep_links", "SELECT user_id AS id, url, row_number() OVER (PARTITION BY user_id ORDER BY p)::INT AS place FROM (SELECT user_id, 'http://e/' || event_id % 20 AS url, min(event_id) AS p FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) QUALIFY place <= 8")
+def deep_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 8 links of a row is the feature."""
+    e = table(spark, sf_dir, "events")
+    url = F.concat(F.when(F.col("event_id") % 3 == 0, "ftp://e/").otherwise("http://e/"), (F.col("event_id") % 20).cast("string"))
+    rows = e.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", url.alias("u")))), lambda x: x["u"]).alias("urls"))
+    return text.deep_links(rows)
+
+
+@query("relationship_list", _with(("pk", "relationship"), "", "SELECT doc_id, from_id AS spdx_id, 'out' AS side, type, coalesce(to_ref || coalesce(':' || to_id, ''), to_id) AS other FROM relationship WHERE from_kind = 'local' UNION ALL SELECT doc_id, to_id, 'in', type, from_id FROM relationship WHERE to_kind = 'local'"))
+def relationship_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _ws(spark, sf_dir).relationship
+    end = lambda s: identity.element_ref_text(F.col(f"{s}_kind"), F.col(f"{s}_ref"), F.col(f"{s}_id"))
+    side = lambda own, far, name: r.where(F.col(f"{own}_kind") == "local").select("doc_id", F.col(f"{own}_id").alias("spdx_id"), F.lit(name).alias("side"), "type", end(far).alias("other"))
+    return side("from", "to", "out").unionByName(side("to", "from", "in"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_conflicts(spark, sf_dir)
 
