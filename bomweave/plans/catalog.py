@@ -550,7 +550,8 @@ def relationships_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("lint_spdx2", _with(("pk", "element", "document"), "", """SELECT name AS doc_name, 'SPDX2_SCHEMA_BAD_DATA_LICENSE' AS code FROM document WHERE doc_id[1] = 's' AND data_license IS NULL
-UNION ALL SELECT DISTINCT d.name, 'SPDX2_SCHEMA_BAD_PACKAGE_PURPOSE' FROM element e JOIN document d USING (doc_id) WHERE purpose NOT IN ('APPLICATION', 'ARCHIVE', 'CONTAINER', 'DEVICE', 'FILE', 'FIRMWARE', 'FRAMEWORK', 'INSTALL', 'LIBRARY', 'OPERATING_SYSTEM', 'OTHER', 'SOURCE')"""))
+UNION ALL SELECT DISTINCT d.name, 'SPDX2_SCHEMA_BAD_PACKAGE_PURPOSE' FROM element e JOIN document d USING (doc_id) WHERE purpose NOT IN ('APPLICATION', 'ARCHIVE', 'CONTAINER', 'DEVICE', 'FILE', 'FIRMWARE', 'FRAMEWORK', 'INSTALL', 'LIBRARY', 'OPERATING_SYSTEM', 'OTHER', 'SOURCE')
+UNION ALL SELECT DISTINCT d.name, 'SPDX2_SCHEMA_BAD_SPDXID' FROM element e JOIN document d USING (doc_id)"""))
 def lint_spdx2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parsed(spark, sf_dir, export.spdx_json)
     return rows.select(F.col("document.name").alias("doc_name"), F.explode("diagnostics").alias("d")).where("d.code like '%\\_SCHEMA\\_%'").select("doc_name", "d.code")
