@@ -9,7 +9,7 @@ URL's key. What of that stack doesn't hold the key, or fails by path, is taken o
 The sweep runs in ranges of keys (host, then path), between bounds drawn from a bounded random sample of the URLs; any bounds
 give the same result. Every range begins with the rule before its lower bound. Ranges are dealt to salted shares with the
 rules repeated, so that neither a frequent host nor a frequent URL is left to one task. URLs are shuffled once, alone with
-their ids; nothing grows on the driver but the sample, of SAMPLE keys.
+their ids; the driver gets the sample, of SAMPLE keys, and one number a range.
 
 Cases: a null URL and one without `://` have empty host and path; an empty rule host fits every host; of two longest rules the
 one with the longer host decides, then block before allow; repeated rows are judged each; an empty table gives no rows. Only the
@@ -18,10 +18,12 @@ id and URL columns are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import rank_in, shuffle_partitions
+from bomweave.llm.common import materialize, rank_in, shuffle_partitions
 
 #: Keys drawn to choose the bounds between ranges.
 SAMPLE = 20_000
@@ -79,11 +81,12 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     in_range = lambda place: rank_in(cuts, len(bounds), place)
 
     # a rule stands where its interval begins; the last rule before a range's lower bound also stands at that bound
-    placed = stacks(rules).withColumn("range", in_range(F.col("key")))
-    last = placed.groupBy("range").agg(F.max_by("stack", "key").alias("stack"), F.max("key").alias("key"))
-    starts = spark.range(len(bounds) + 1).select(F.col("id").cast("int").alias("range")).join(last, "range", "left")
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    carried = starts.select("range", F.lit("").alias("key"), F.last("stack", True).over(before).alias("stack"))
+    placed = materialize(stacks(rules).withColumn("range", in_range(F.col("key"))), "rule-stacks")
+    last = placed.groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
+    held = sorted(r.range for r in last.select("range").collect())  # at most one number a range
+    source = [(r, held[bisect_left(held, r) - 1]) for r in range(len(bounds) + 1) if held and held[0] < r]
+    before = spark.createDataFrame(source, "range int, source int")
+    carried = before.join(last.withColumnRenamed("range", "source"), "source").select("range", F.lit("").alias("key"), "stack")
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     events = placed.select("range", "key", "stack").unionByName(carried).select("range", salt, "key", "stack", F.col("key").alias("place"))
     nothing = {"id": rows.schema["id"].dataType, "host": "string", "path": "string"}
