@@ -311,3 +311,14 @@ def test_profile_validation():
     assert not wrong and p.baselines == ("spdx-3",) and len(p.checks) == 3 and profile.sniff(json.dumps(good)) and not profile.sniff("{}")
     bad = {"schema": "bomweave-profile/v1", "name": "", "requires": {"spec": "x"}, "checks": [{"type": "odd"}, {"type": "document-field", "field": "x", "pattern": "("}, {"type": "package-coverage", "field": "checksum", "algorithms": ["a"], "threshold": 101, "values": ["x"]}, {"type": "created-recency"}, {"type": "relationships", "minCount": 0}]}
     assert profile.validate(bad)[0] is None and len(profile.validate(bad)[1]) >= 9
+
+
+def test_blobs_and_catalogue():
+    from bomweave.sources import blobs, catalogue
+
+    chart = gzip.compress(archives.write_tar({"app/Chart.yaml": b"name: app", "app/values.yaml": b"a: 1"}))
+    kinds = [blobs.inspect(x).kind for x in (b"{}", b"a: 1\nb: 2\n", b"plain words", b"\0\1", archives.write_tar({"x": b"1"}), chart, archives.write_tar({"oci-layout": b"{}"}))]
+    assert kinds == ["json", "yaml", "text", "binary", "tar", "helm-chart", "oci-artifact"]
+    assert blobs.digests(gzip.compress(b"a"))["unpacked"] == hashlib.sha256(b"a").hexdigest()
+    c = catalogue.read({"sources": [{"name": "s", "urls": ["a.json", "https://x/y", "ftp://x", "//x"]}, {"name": "none", "urls": ["file:///x"]}, {"urls": ["a"]}], "profiles": ["p.json", "data:x"]})
+    assert c == catalogue.Catalogue((catalogue.Source("s", ("a.json", "https://x/y")),), ("p.json",))
