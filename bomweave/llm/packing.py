@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bomweave.llm.bpe import encoder, read_tokenizer
-from bomweave.llm.common import map_batches, materialize
+from bomweave.llm.common import map_batches, materialize, shuffle_partitions
 
-#: Buckets among which the pieces of one length are dealt for ranking.
+#: Buckets among which the pieces of one length are dealt for ranking, at least; as many as shuffle partitions where those are more.
 BUCKETS = 64
 
 
@@ -146,9 +146,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0
     Tokenized once (the pieces are written to the shared folder), counted by length, ranked by length, then placed by a
     narrow map with the table of places, whose size depends on `size` only.
     """
-    bucket = F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int")
+    buckets = max(BUCKETS, shuffle_partitions(docs.sparkSession))
+    bucket = F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int")
     pieces = materialize(cut(docs, tokenizer_path, size, end_id, id_col, text_col, keep_ids).withColumn("bucket", bucket), "pieces")
-    by_bucket = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")  # size x BUCKETS rows at most
+    by_bucket = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")  # size x buckets rows at most
     counts = {r.length: r.n for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = places(counts, size)
 
