@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import map_batches, new_path
+from bomweave.llm.common import map_batches, materialize, new_path
 
 #: Most bytes of a block in one record.
 SEGMENT_BYTES = 65_536
@@ -103,16 +103,19 @@ def page_records(page: object, row: int, url: str | None, payload: bytes, digest
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Write pages as gzipped WARC files under path.
 
-    Smallest ids by payload digest are found with a partial aggregate; they are joined to the pages by digest and salt, so that
-    the rows of a payload that many pages share are spread. Payloads are shuffled once, by that join.
+    Smallest ids by payload digest are found with a partial aggregate, and joined to ids and digests alone by digest and salt,
+    so that the rows of a payload that many pages share are spread. What is a revisit is a written table, joined to the pages by
+    id: Spark broadcasts it where its size is known to be small, and else shuffles the payloads once, by a key that isn't hot.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("row", F.monotonically_increasing_id())
-    shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
+    narrow = rows.where(F.octet_length("payload") >= least_bytes).select("page", "digest").withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int"))
+    shared = narrow.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
     salted = shared.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
-    refers_to = F.when((F.octet_length("payload") >= least_bytes) & ~F.col("page").eqNullSafe(F.col("first")), F.col("first"))
+    again = narrow.join(salted, ["digest", "salt"]).where(~F.col("page").eqNullSafe(F.col("first"))).select(F.col("page").alias("again"), F.col("digest").alias("same"), F.col("first").alias("refers_to")).distinct()
+    revisits = materialize(again, "revisits")
+    found = rows.join(revisits, F.col("page").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -127,7 +130,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                         held, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["record"])
 
-    records = map_batches(found.select("page", "row", "url", "payload", "digest", refers_to.alias("refers_to")), run, "record binary")
+    records = map_batches(found.select("page", "row", "url", "payload", "digest", "refers_to"), run, "record binary")
     text = records.select(F.col("record").cast("string").alias("value"))  # the cast keeps the bytes as they are
     text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
