@@ -180,15 +180,26 @@ class Encoder:
         return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class LibraryEncoder(Encoder):
+    """The same words, kept the same way, with the library's own merges: for callers that want ids and no fragments."""
+
+    def __init__(self, tokenizer_json: str):
+        super().__init__(tokenizer_json)
+        self.model = self.library.model
+
+    def encode_symbols(self, symbols: Iterable[str]) -> list[int]:
+        return [t.id for t in self.model.tokenize("".join(symbols))]
+
+
+_ENCODERS: dict[tuple[str, type[Encoder]], Encoder] = {}
 
 
-def encoder(tokenizer_json: str) -> Encoder:
+def encoder(tokenizer_json: str, kind: type[Encoder] = Encoder) -> Encoder:
     """The worker's encoder for a tokenizer, built once a process."""
-    if tokenizer_json not in _ENCODERS:
+    if (tokenizer_json, kind) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[tokenizer_json] = Encoder(tokenizer_json)
-    return _ENCODERS[tokenizer_json]
+        _ENCODERS[tokenizer_json, kind] = kind(tokenizer_json)
+    return _ENCODERS[tokenizer_json, kind]
 
 
 def read_tokenizer(path: str) -> str:

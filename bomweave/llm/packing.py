@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomweave.llm.bpe import encoder, read_tokenizer
+from bomweave.llm.bpe import LibraryEncoder, encoder, read_tokenizer
 from bomweave.llm.common import map_batches, materialize, shuffle_partitions
 
 #: Buckets among which the pieces of one length are dealt for ranking, at least; as many as shuffle partitions where those are more.
@@ -121,7 +121,7 @@ def cut(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, id_col: st
     end = array("i", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer.value)
+        own = encoder(tokenizer.value, LibraryEncoder)
         for batch in batches:
             keys, rows = [], []
             for key, text in zip(batch[0].to_pylist(), batch[1], strict=True):
