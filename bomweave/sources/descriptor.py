@@ -110,5 +110,5 @@ def parse_object(root: dict, serialization: str, file_name: str, blobs: dict[str
     if unverified:
         out.note("info", "OCM_DIGESTS_NOT_VERIFIED", f"{unverified} digests are recorded, not verified")
     out.describe(["SPDXRef-component"])
-    lint.descriptor(component, True, out)
+    lint.descriptor(component, out)
     return out

@@ -172,7 +172,7 @@ def test_lint_finds_each_rule_once():
     found = codes(out)
     assert len(found) == len(set(found)) == 13
     out = Parsed()
-    lint.descriptor({"name": "Bad", "version": "x", "creationTime": "now", "resources": [{"name": "r", "relation": "odd", "access": {}, "digest": {"value": "1"}, "labels": [1]}] * 2}, True, out)
+    lint.descriptor({"name": "Bad", "version": "x", "creationTime": "now", "resources": [{"name": "r", "relation": "odd", "access": {}, "digest": {"value": "1"}, "labels": [1]}] * 2}, out)
     assert set(codes(out)) == {f"OCM_SCHEMA_{c}" for c in ("MISSING_FIELD", "BAD_NAME", "BAD_VERSION", "BAD_TIMESTAMP", "BAD_RELATION", "ACCESS_MISSING_TYPE", "DIGEST_INCOMPLETE", "DUPLICATE_IDENTITY", "LABEL_MALFORMED")}
     out = Parsed()
     lint.spdx3([{"spdxId": "x"}, {"type": "CreationInfo", "specVersion": "2"}, {"type": "Relationship", "spdxId": "urn:r", "creationInfo": "_:c", "from": "urn:gone", "to": [], "verifiedUsing": [{"algorithm": "q"}]}], out, set())
