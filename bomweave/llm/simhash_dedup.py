@@ -332,9 +332,16 @@ def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str =
     """The rows of docs, all columns, without those whose group has a document of a smaller id.
 
     Rows with a null id stay. Of rows that repeat an id one stays, the least by text, if any of them is its group's first.
+    """
+    return first_of_groups(docs, near_groups(docs, radius, width, id_col=id_col, text_col=text_col), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """one_of_each by the component_id that labelled has for each row's id.
+
     The ids to remove are a written table, so Spark broadcasts it only where its size is known to be small.
     """
-    groups = materialize(near_groups(docs, radius, width, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("id"), "component_id"), "groups")
+    groups = materialize(labelled.select(F.col(id_col).alias("id"), "component_id"), "groups")
     by_id = groups.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max((F.col("id") == F.col("component_id")).cast("int")).alias("first"))
     gone = materialize(by_id.where("first = 0").select("id"), "gone")
     again = materialize(by_id.where("first = 1 and n > 1").select("id"), "again")
