@@ -6,8 +6,9 @@ labelled rows; in every round each gives the pool documents that it is surest of
 one's training rows, and both are fitted again. Labelled rows that neither was fitted on then calibrate each view and a combination of
 both logits, which scores all documents.
 
-Fitted on bounded samples, drawn by a hash of the id from all that may be learned from: about MAX_LABELLED labelled rows
-(a quarter of them for calibration) and MAX_POOL unlabelled ones, in one task. Scoring is a narrow map over whole texts with the model broadcast.
+The labelled rows are a bounded sample, drawn by a hash of the id: about MAX_LABELLED (a quarter of them for calibration); the
+views are fitted in one task. The pool is every unlabelled document that may be learned from: each round scores all of them with
+both views in a narrow map over whole texts and takes the surest of each label by a distributed top-k.
 
 Cases: null texts count as empty, null metadata as values of their own; of several labels of one document the greatest counts;
 without labels every score is 0.5 and every document is kept; repeated rows are scored each; a text of any length is read
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from bomweave.llm.common import map_batches
+from bomweave.llm.common import map_batches, materialize
 from bomweave.llm.linear import BLOCK, GramModel, fit_dense, sigmoid
 
-MAX_LABELLED, MAX_POOL = 1_600, 1_600
+MAX_LABELLED = 1_600
 ROUNDS, PER_ROUND, SURE = 3, 150, 0.9
 SIZES = (1, 2, 3, 4)
 #: Score from which a document is kept.
@@ -130,6 +132,19 @@ class CoTrained:
                 other[1].extend(given.values())
                 left[i] = [x for k, x in enumerate(left[i]) if k not in given]
                 self.exchanged += len(given)
+        self._calibrate(check, check_y)
+
+    @classmethod
+    def of(cls, own: list[tuple[list[Row], np.ndarray]], check: list[Row], check_y: np.ndarray) -> CoTrained:
+        """The views fitted once on their own rows, without an exchange."""
+        out = cls.__new__(cls)
+        out.views, out.exchanged = [Content(), Metadata()], 0
+        for view, (x, labels) in zip(out.views, own, strict=True):
+            view.fit(x, labels)
+        out._calibrate(check, check_y)
+        return out
+
+    def _calibrate(self, check: list[Row], check_y: np.ndarray) -> None:
         z = np.column_stack([v.logits(check) for v in self.views])
         self.single = [fit_dense(z[:, [i]], check_y) for i in range(2)]
         self.both = fit_dense(z, check_y)
@@ -150,22 +165,60 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     dice = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30))
     drawn = known.where(may_learn & (dice(_SEED) < min(1.0, MAX_LABELLED / sum(n.values())) * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    others = rows.select("id").where(may_learn & F.col("id").isNotNull()).join(known.select("id"), "id", "left_anti")
-    n_others = others.count()
-    pool = others.where(dice(_SEED + 1) < min(1.0, MAX_POOL / max(n_others, 1)) * (1 << 30)).distinct().withColumn("label", F.lit(None).cast("int"))
-    chosen = rows.join(F.broadcast(drawn.unionByName(pool)), "id")  # bounded by MAX_LABELLED and MAX_POOL; one scan of the texts
+    rows = rows.where(may_learn & F.col("id").isNotNull()).withColumn("mark", F.xxhash64("text", "lang", "source", "n_chars"))
+    plain = StructType([StructField("id", rows.schema["id"].dataType), *(StructField(c, LongType()) for c in ("mark", "to", "label"))])
+    chosen = rows.join(F.broadcast(drawn), "id").withColumn("to", F.lit(None).cast("long"))  # bounded by MAX_LABELLED; one scan of the texts
+    chosen = materialize(chosen.select(*rows.columns, "to", F.col("label").cast("long").alias("label")), "labelled")
+    given: list[set[tuple[object, int]]] = [set(), set()]  # by the view that gave: at most 2 * PER_ROUND a round
+    for r in range(ROUNDS + 1):
+        model = pickle.loads(map_batches(chosen.repartition(1), _fit, "model binary").first().model)
+        model.exchanged = sum(map(len, given))
+        if r == ROUNDS:
+            break
+        sure = materialize(_logits(rows, model).join(known.select("id"), "id", "left_anti"), "logits")
+        new = []
+        for view, own in enumerate(given):
+            past = docs.sparkSession.createDataFrame([(*k, None, None) for k in own], plain).select("id", "mark")
+            left = sure.join(F.broadcast(past), ["id", "mark"], "left_anti").dropDuplicates(["id", "mark"])
+            z, bound = F.col(f"z{view}"), float(np.log(SURE / (1 - SURE)))
+            for label, found in ((1, left.where(z >= bound).orderBy(z.desc(), "id", "mark")), (0, left.where(z <= -bound).orderBy(z, "id", "mark"))):
+                for k in found.limit(PER_ROUND).select("id", "mark").collect():
+                    own.add((k.id, k.mark))
+                    new.append((k.id, k.mark, 1 - view, label))
+        if new:
+            picked = docs.sparkSession.createDataFrame(new, plain)
+            chosen = chosen.unionByName(materialize(rows.join(F.broadcast(picked), ["id", "mark"]).dropDuplicates(["id", "mark", "to"]), "given"))
+    return model
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A pickled model of rows with labels: of the sample (`to` is null), and those given to one view."""
+    found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["id"], r["text"] or ""))
+    row = lambda r: (r["text"], r["lang"], r["source"], r["n_chars"])
+    own = [r for r in found if r["to"] is None]
+    check = [r for k, r in enumerate(own) if k % 4 == 3]
+    fit = [r for k, r in enumerate(own) if k % 4 != 3]
+    y = lambda part: np.array([float(r["label"]) for r in part])
+    parts = [fit + [r for r in found if r["to"] == view] for view in range(2)]
+    model = CoTrained.of([([*map(row, part)], y(part)) for part in parts], [*map(row, check)], y(check))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def _logits(rows: DataFrame, model: CoTrained) -> DataFrame:
+    """id, mark and both views' logits (z0, z1) of each row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["id"], r["text"] or ""))
-        row = lambda r: (r["text"], r["lang"], r["source"], r["n_chars"])
-        own = [r for r in found if r["label"] is not None]
-        check = [r for k, r in enumerate(own) if k % 4 == 3]
-        fit = [r for k, r in enumerate(own) if k % 4 != 3]
-        y = lambda part: np.array([float(r["label"]) for r in part])
-        model = CoTrained([*map(row, fit)], y(fit), [row(r) for r in found if r["label"] is None], [*map(row, check)], y(check))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
-
-    return pickle.loads(map_batches(chosen.select("id", "text", "lang", "source", "n_chars", "label").repartition(1), run, "model binary").first().model)
+        for batch in batches:
+            parts: tuple[list[np.ndarray], ...] = ([], [])
+            for at in range(0, batch.num_rows, 256):
+                own = [*zip(*(c.to_pylist() for c in batch.slice(at, 256).columns[2:]), strict=True)]
+                for part, view in zip(parts, shared.value.views, strict=True):
+                    part.append(view.logits(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.concatenate([*p, np.zeros(0)])) for p in parts)], ["id", "mark", "z0", "z1"])
+
+    chosen = rows.select("id", "mark", "text", "lang", "source", "n_chars")
+    return map_batches(chosen, run, f"id {rows.schema['id'].dataType.simpleString()}, mark long, z0 double, z1 double")
 
 
 def score(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", keep: float = KEEP) -> DataFrame:
