@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 
 from bomweave.llm.common import map_batches
 
-#: Words whose encoding a Python worker keeps; the store is emptied when it is full.
-KEPT_WORDS = 1_000_000
+#: Bytes of words and their ids that a Python worker keeps, about, and what an entry takes beside them.
+KEPT_BYTES, KEPT_ENTRY = 48 << 20, 180
 #: Symbols from which a fragment is merged with a heap.
 LONG_FRAGMENT = 256
 NO_MERGE = 1 << 30
@@ -45,23 +45,108 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-class Encoder:
-    """Encodes texts as the tokenizers library does with the given tokenizer file (byte symbols with a word-end suffix)."""
+class WordEncoder:
+    """Splits texts into pieces as the tokenizers library does with the given file, and keeps what pieces encode to.
+
+    The store holds at most KEPT_BYTES: two halves, of which the younger takes what the older is asked for; when it is full, the
+    older half goes. So frequent words stay, and a worker's memory doesn't grow with the words that it has seen.
+    """
+
+    def __init__(self, tokenizer_json: str):
+        self.library = Tokenizer.from_str(tokenizer_json)
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def encode_symbols(self, symbols: str) -> list[int]:
+        """The ids of one piece that the word splitter made, given as byte symbols."""
+        raise NotImplementedError
+
+    def _keep(self, key: str, ids: bytes) -> None:
+        self.held += KEPT_ENTRY + len(key) + len(ids)
+        if self.held > KEPT_BYTES // 2:
+            self.kept, self.older, self.held = {}, self.kept, 0
+        self.kept[key] = ids
+
+    def _piece(self, piece: str, symbols: str | None = None) -> bytes:
+        """Little-endian 32-bit ids of one piece, kept in the younger half; symbols are its bytes, where they aren't the piece itself."""
+        found = self.kept.get(piece)
+        if found is None:
+            found = self.older.get(piece)
+            if found is None:
+                if symbols is None:
+                    symbols = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
+                found = array("i", self.encode_symbols(symbols)).tobytes()
+            self._keep(piece, found)
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        """The same for a chunk without white space that the younger half doesn't hold.
+
+        Letters, and letters with one mark after them, are one and two pieces, and kept as those; other chunks are kept whole.
+        """
+        word, mark = chunk[:-1], chunk[-1]
+        if word.isalpha() and not mark.isalpha():
+            return (self.kept.get(word) or self._piece(word)) + (self.kept.get(mark) or self._piece(mark))
+        if chunk.isalpha():
+            return self._piece(chunk)
+        found = self.older.get(chunk)
+        if found is None:
+            found = b"".join(map(self._piece, _PIECES.findall(chunk)))
+        self._keep(chunk, found)
+        return found
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        if _UNUSUAL.search(text):
+            pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+            return b"".join([self._piece(f" {p}", p) for p in pieces])  # a key of its own: these pieces are byte symbols
+        chunks = text.lower().split()
+        found = [*map(self.kept.get, chunks)]
+        if None in found:
+            chunk = self._chunk
+            found = [chunk(c) if x is None else x for c, x in zip(chunks, found, strict=True)]
+        return b"".join(found)
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian 32-bit ids of a whole text."""
+        if not text:
+            return b""
+        if "<|" not in text:
+            return self._plain(text)
+        out, at = [], 0
+        for m in self._special.finditer(text):
+            out += [self._plain(text[at : m.start()]), array("i", [self.special[m[0]]]).tobytes()]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+
+class LibraryEncoder(WordEncoder):
+    """Pieces encoded by the library's own model: for callers that want ids and no fragments."""
 
     def __init__(self, tokenizer_json: str):
-        config = json.loads(tokenizer_json)
-        model = config["model"]
+        super().__init__(tokenizer_json)
+        self.model = self.library.model
+
+    def encode_symbols(self, symbols: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(symbols)]
+
+
+class Encoder(WordEncoder):
+    """Pieces encoded by forced-boundary splitting and merges of our own (byte symbols with a word-end suffix)."""
+
+    def __init__(self, tokenizer_json: str):
+        super().__init__(tokenizer_json)
+        model = json.loads(tokenizer_json)["model"]
         self.vocabulary: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(a, b): rank for rank, (a, b) in enumerate(pairs)}
-        self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.tokens = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.special.items()}
-        self.symbols = byte_symbols()
         self.inner, self.final = self.pairs_inside()
-        self.library = Tokenizer.from_str(tokenizer_json)
-        self.kept: dict[str, bytes] = {}
 
     def pairs_inside(self) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
         """Neighbouring symbols inside any token: before a word's end, and as its last two."""
@@ -124,77 +209,21 @@ class Encoder:
                     heapq.heappush(heap, (r, k, parts[k], parts[m]))
         return [p for p in parts if p]
 
-    def encode_symbols(self, symbols: Iterable[str]) -> list[int]:
-        """The ids of one piece that the word splitter made, given as byte symbols."""
+    def encode_symbols(self, symbols: str) -> list[int]:
         cut = self.fragments([*symbols])
         cut[-1][-1] += self.suffix
         vocabulary = self.vocabulary
         return [vocabulary[t] for part in cut for t in self.merge(part) if t in vocabulary]
 
-    def _keep(self, key: str, ids: bytes) -> bytes:
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        self.kept[key] = ids
-        return ids
-
-    def _piece(self, symbols: str) -> bytes:
-        """The same for a piece that the library made."""
-        key = f" {symbols}"
-        return self.kept.get(key) or self._keep(key, array("i", self.encode_symbols(symbols)).tobytes())
-
-    def _word(self, word: str) -> bytes:
-        """The same for one piece of a chunk."""
-        table = self.symbols
-        return self.kept.get(word) or self._keep(word, array("i", self.encode_symbols([table[b] for b in word.encode()])).tobytes())
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Little-endian 32-bit ids of a chunk without white space, kept for its next occurrence."""
-        pieces = _PIECES.findall(chunk)
-        return self._word(chunk) if len(pieces) == 1 else self._keep(chunk, b"".join(map(self._word, pieces)))
-
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens."""
-        if _UNUSUAL.search(text):
-            pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-            return b"".join(map(self._piece, pieces))
-        chunks, kept = text.lower().split(), self.kept
-        found = [*map(kept.get, chunks)]
-        if None in found:
-            found = [kept.get(c) or self._chunk(c) if x is None else x for c, x in zip(chunks, found, strict=True)]
-        return b"".join(found)
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids of a whole text."""
-        if not text:
-            return b""
-        if "<|" not in text:
-            return self._plain(text)
-        out, at = [], 0
-        for m in self._special.finditer(text):
-            out += [self._plain(text[at : m.start()]), array("i", [self.special[m[0]]]).tobytes()]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
-
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens of the ids with a space between, as the library decodes without a decoder; unknown ids are left out."""
         return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
 
 
-class LibraryEncoder(Encoder):
-    """The same words, kept the same way, with the library's own merges: for callers that want ids and no fragments."""
-
-    def __init__(self, tokenizer_json: str):
-        super().__init__(tokenizer_json)
-        self.model = self.library.model
-
-    def encode_symbols(self, symbols: Iterable[str]) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(symbols))]
-
-
-_ENCODERS: dict[tuple[str, type[Encoder]], Encoder] = {}
+_ENCODERS: dict[tuple[str, type[WordEncoder]], WordEncoder] = {}
 
 
-def encoder(tokenizer_json: str, kind: type[Encoder] = Encoder) -> Encoder:
+def encoder(tokenizer_json: str, kind: type[WordEncoder] = Encoder) -> WordEncoder:
     """The worker's encoder for a tokenizer, built once a process."""
     if (tokenizer_json, kind) not in _ENCODERS:
         _ENCODERS.clear()

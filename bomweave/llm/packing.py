@@ -143,35 +143,31 @@ def cut(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, id_col: st
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """The pieces of all documents with the sequence that each goes to and its offset there.
 
-    Tokenized once (the pieces are written to the shared folder), counted by length, ranked by length, then placed by a
-    narrow map with the table of places, whose size depends on `size` only.
+    Tokenized once (the pieces are written to the shared folder), counted and ranked by length, then placed inside the JVM: the
+    table of places, whose size depends on `size` only, is cut where the buckets of a length meet, so a piece is joined to the
+    runs of its own length and bucket and finds its run there by binary search.
     """
-    buckets = max(BUCKETS, shuffle_partitions(docs.sparkSession))
+    spark = docs.sparkSession
+    buckets = max(BUCKETS, shuffle_partitions(spark))
     bucket = F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int")
     pieces = materialize(cut(docs, tokenizer_path, size, end_id, id_col, text_col, keep_ids).withColumn("bucket", bucket), "pieces")
     by_bucket = materialize(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")  # size x buckets rows at most
     counts = {r.length: r.n for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = places(counts, size)
+    runs = spark.createDataFrame(pa.Table.from_pandas(places(counts, size)))
 
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_bucket.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(bases, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
-
-    length, start, each, sequence, offset = (table[c].to_numpy(np.int64) for c in table.columns)
-    top = np.int64(1) << 46
-    keys = length * top + start
+    upto = F.sum("n").over(Window.partitionBy("length").orderBy("bucket"))
+    dealt = by_bucket.select("length", "bucket", (upto - F.col("n")).alias("base"), upto.alias("end"))
+    ends = F.lead("start").over(Window.partitionBy("length").orderBy("start"))
+    own = runs.withColumn("stop", ends).join(dealt, "length").where("start < end and (stop is null or stop > base)")
+    own = own.groupBy("length", "bucket", "base").agg(F.array_sort(F.collect_list(F.struct("start", "each", "sequence", "offset"))).alias("runs"))
+    own = materialize(own, "runs")
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))
-            row = np.searchsorted(keys, own * top + rank, "right") - 1
-            past = rank - start[row]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in out), pa.array(sequence[row] + past // each[row]), pa.array(offset[row] + past % each[row] * own)],
-                [*out, "sequence_id", "offset"],
-            )
-
-    out = [c for c in pieces.columns if c != "bucket"]
-    schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in out)
-    return map_batches(ranked.select(*out, "rank"), place, f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    within = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
+    ranked = pieces.withColumn("local", F.row_number().over(within) - 1).join(own, ["length", "bucket"]).withColumn("rank", F.col("local") + F.col("base"))
+    steps = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size("runs").cast("long"))) - 1), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    ahead = lambda at, step: F.when((at + step < F.size("runs")) & (F.get(F.col("runs.start"), at + step) <= F.col("rank")), at + step).otherwise(at)
+    found = ranked.withColumn("run", F.get("runs", F.aggregate(F.reverse(steps), F.lit(0), ahead)))
+    past = F.col("rank") - F.col("run.start")
+    out = [F.col(c) for c in pieces.columns if c != "bucket"]
+    placed = found.select(*out, (F.col("run.sequence") + F.floor(past / F.col("run.each"))).alias("sequence_id"), (F.col("run.offset") + past % F.col("run.each") * F.col("length")).alias("offset"))
+    return placed.withColumnRenamed("id", id_col)

@@ -293,3 +293,16 @@ def test_packing_cases(spark):
     rows = [*enumerate(ODD), (None, "null id"), (3, "again"), (3, "again")]
     check_packing(rows, packing.pack(documents(spark, rows), PATH, 64).collect(), 64)
     assert packing.pack(documents(spark, []), PATH).count() == 0
+
+
+def test_words_are_encoded_alike_when_the_store_runs_over(monkeypatch):
+    """A store of a few words: halves change all the time, and no id may change with them."""
+    source = bpe.read_tokenizer(PATH)
+    texts = ["the cat's hat, a cat. 42x x42! don't \x00\x7f (a)b", "naïve Ünïcode café, \u4e2d\u6587 word word. " * 3, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 4, "", " \t", "x" * 3000 + "."]
+    for kept in (0, 800, 4000, 1 << 20):
+        monkeypatch.setattr(bpe, "KEPT_BYTES", kept)
+        for kind in (bpe.Encoder, bpe.LibraryEncoder):
+            own = kind(source)
+            for text in texts * 2:
+                assert np.frombuffer(own.encode(text), np.int32).tolist() == ids(text)
+            assert own.held <= max(kept // 2, bpe.KEPT_ENTRY * 400)
