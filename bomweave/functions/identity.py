@@ -161,7 +161,7 @@ def profile_algorithm(c: Column) -> Column:
 
 
 def lint_algorithm(c: Column) -> Column:
-    return F.regexp_replace(F.upper(c), "[-_]", "")
+    return F.regexp_replace(F.upper(F.trim(c)), "[-_]", "")
 
 
 def checksum_problem(algorithm: Column, value: Column) -> Column:

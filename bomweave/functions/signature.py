@@ -115,42 +115,48 @@ def verify_pss(key: tuple[int, int], digest: bytes, signature: bytes, name: str)
     return False
 
 
-def _checked(value: object) -> object:
-    if isinstance(value, float):
-        raise BadInput("a number that is no integer")
-    if isinstance(value, dict):
-        return {k: _checked(v) for k, v in value.items()}
-    return [_checked(v) for v in value] if isinstance(value, list) else value
+#: What is left out of the signed bytes, and the parts of a signed label.
+UNSIGNED_COMPONENT, UNSIGNED_ARTIFACT, LABEL_PARTS = ("repositoryContexts",), ("access", "srcRefs"), ("name", "version", "value", "signing")
+ALGORITHMS = ("jsonNormalisation/v2", "jsonNormalisation/v3", "jsonNormalisation/v4alpha1")
 
 
-def _labels(value: object) -> list[dict] | None:
-    """Labels that are signed."""
-    return [x for x in value if isinstance(x, dict) and x.get("signing") is True] if isinstance(value, list) else None
+def _canonical(value: object) -> object:
+    """The value with maps in order of their keys (by UTF-16 units) and whole numbers as integers; other numbers are refused."""
+    if isinstance(value, dict):
+        return {k: _canonical(value[k]) for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))}
+    if isinstance(value, list):
+        return [_canonical(v) for v in value]
+    if isinstance(value, float):
+        if not value.is_integer():
+            raise BadInput("a number that is no integer")
+        return int(value)
+    return value
 
 
-def _artifact(a: dict, keep: tuple[str, ...], empty: tuple[str, ...]) -> dict:
-    out = {k: _checked(a[k]) for k in keep if a.get(k) not in (None, {}, [])}
-    out |= {k: [] for k in empty if k not in out}
-    labels = _labels(a.get("labels"))
-    return out | ({"labels": _checked(labels)} if labels else {})
+def _without(entry: object, unsigned: tuple[str, ...]) -> object:
+    """A map without its unsigned parts: the named ones, and labels that aren't marked as signed."""
+    if not isinstance(entry, dict):
+        return entry
+    out = {k: v for k, v in entry.items() if k not in (*unsigned, "labels")}
+    labels = entry.get("labels")
+    signed = [{p: x[p] for p in LABEL_PARTS if p in x} for x in labels if isinstance(x, dict) and x.get("signing") in (True, "true")] if isinstance(labels, list) else []
+    return out | ({"labels": signed} if signed else {})
 
 
 def normalized(component: dict, algorithm: str) -> bytes:
-    """The bytes of a component that are signed: sorted keys, without where things lie or what isn't signed."""
-    if algorithm not in ("jsonNormalisation/v2", "jsonNormalisation/v3", "jsonNormalisation/v4alpha1"):
+    """The bytes of a component that are signed: all that isn't excluded, as compact JSON with sorted keys.
+
+    The three lists of artifacts are there even if empty, and a provider given by name is a map.
+    """
+    if algorithm not in ALGORITHMS:
         raise BadInput(f"{algorithm} is not known")
-    provider = component.get("provider")
-    out: dict[str, object] = {"name": component.get("name"), "version": component.get("version"), "provider": _checked(provider if isinstance(provider, dict) else {"name": provider})}
-    keep = ("name", "version", "type", "relation", "extraIdentity", "digest")
-    out["resources"] = [_artifact(a, keep, ()) for a in component.get("resources") or []]
-    out["sources"] = [_artifact(a, ("name", "version", "type", "extraIdentity"), ()) for a in component.get("sources") or []]
-    out["componentReferences"] = [_artifact(a, ("name", "version", "componentName", "extraIdentity", "digest"), ()) for a in component.get("componentReferences") or []]
-    labels = _labels(component.get("labels"))
-    if labels:
-        out["labels"] = _checked(labels)
-    if algorithm.endswith("v4alpha1") and component.get("creationTime"):
-        out["creationTime"] = component["creationTime"]
-    return json.dumps({"component": out}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
+    out = dict(_without(component, UNSIGNED_COMPONENT))
+    if "provider" in out and not isinstance(out["provider"], dict):
+        out["provider"] = {"name": out["provider"]}
+    for key, unsigned in (("resources", UNSIGNED_ARTIFACT), ("sources", UNSIGNED_ARTIFACT), ("componentReferences", ()), ("references", ())):
+        if key in out or key != "references":
+            out[key] = [_without(a, unsigned) for a in out[key]] if isinstance(out.get(key), list) else []
+    return json.dumps(_canonical({"component": out}), separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")
 
 
 def verify(component: dict, signature: dict, pem: str) -> dict[str, object]:

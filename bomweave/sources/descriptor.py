@@ -17,14 +17,11 @@ def as_v2(root: dict) -> tuple[dict, str]:
         meta, spec = record(root.get("metadata")), record(root.get("spec"))
         provider = meta.get("provider")
         out = {
-            "name": meta.get("name"), "version": meta.get("version"), "provider": record(provider).get("name") if isinstance(provider, dict) else provider, "labels": meta.get("labels"), "creationTime": meta.get("creationTime"),
+            "name": meta.get("name"), "version": meta.get("version"), "provider": provider, "labels": meta.get("labels"), "creationTime": meta.get("creationTime"),
             "repositoryContexts": root.get("repositoryContexts"), "resources": spec.get("resources"), "sources": spec.get("sources"), "componentReferences": spec.get("references"),
         }
         return out, "OCM-CD/v3alpha1"
-    component = dict(record(root.get("component")))
-    if isinstance(component.get("provider"), dict):
-        component["provider"] = component["provider"].get("name")
-    return component, "OCM-CD/v2"
+    return record(root.get("component")), "OCM-CD/v2"
 
 
 def image_purl(image: str, version: str | None) -> str:
@@ -48,7 +45,7 @@ def parse_object(root: dict, serialization: str, file_name: str, blobs: dict[str
     name, version = text(component.get("name")), text(component.get("version"))
     if not name or not version:
         return out.fail("OCM_CD_MALFORMED", "a component descriptor without name or version")
-    provider = text(component.get("provider"))
+    provider = text(component.get("provider")) or text(record(component.get("provider")).get("name"))
     if label.endswith("v3alpha1"):
         out.note("info", "OCM_V3ALPHA1", "read as a version 3 descriptor")
     created = text(component.get("creationTime")) or next((text(x.get("value")) for x in records(component.get("labels")) if str(x.get("name", "")).endswith("creationTime")), None)

@@ -192,22 +192,23 @@ def parse_tag_value(source: str, file_name: str) -> Parsed:
         out.note("info", "TV_BLOCKS_SKIPPED", f"{skipped} blocks are not read")
     for e in out.elements:
         line = e.pop("line")
-        if "spdx_id" not in e:
+        written = e.get("spdx_id")
+        if written is None:
             nameless += 1
             e["spdx_id"] = f"{ANONYMOUS}{nameless}"
             out.note("warning", "TV_MISSING_SPDXID", f"{e['name']} has no identifier", line)
         if e["kind"] == "package":
             e["purl"] = _purl(e.get("external_refs"))
             e["version"] = e.get("version") or (purl_version(e["purl"]) if e["purl"] else None)
-        raw["packages" if e["kind"] == "package" else "files"].append({"SPDXID": e["spdx_id"], "downloadLocation": e.get("download_location"), "primaryPackagePurpose": e.get("purpose"), "licenseConcluded": e.get("license_concluded"), "licenseDeclared": e.get("license_declared")})
+        raw["packages" if e["kind"] == "package" else "files"].append({"SPDXID": written, "name": e["name"], "fileName": e["name"], "downloadLocation": e.get("download_location"), "primaryPackagePurpose": e.get("purpose"), "licenseConcluded": e.get("license_concluded"), "licenseDeclared": e.get("license_declared")})
+    raw |= {"SPDXID": doc.get("spdx_id"), "spdxVersion": doc.get("version"), "dataLicense": doc.get("data_license"), "documentNamespace": doc.get("namespace")}
+    raw["creationInfo"]["created"] = doc.get("created")
     doc.setdefault("spdx_id", "SPDXRef-DOCUMENT")
     doc.setdefault("name", file_name)
     doc.setdefault("version", "SPDX-2.x")
     if not doc.get("namespace"):
         out.note("warning", "DOC_NO_NAMESPACE", "the document has no namespace")
     out.document = doc
-    raw |= {"spdxVersion": doc["version"], "dataLicense": doc.get("data_license"), "documentNamespace": doc.get("namespace")}
-    raw["creationInfo"]["created"] = doc.get("created")
     out.drop_repeated_ids()
     out.describe()
     out.check_references()

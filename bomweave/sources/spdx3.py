@@ -140,5 +140,5 @@ def parse_object(root: dict, file_name: str) -> Parsed:
     described = [r["to_id"] for r in out.relationships if r["type"] == "DESCRIBES" and r["from_id"] == own_id and r["to_kind"] == "local"]
     listed = [x for h in (document, sbom) if h for x in texts(h.get("rootElement")) if x in elements]
     out.describe([*described, *listed])
-    lint.spdx3(nodes, out, set(imported))
+    lint.spdx3(nodes, out)
     return out
