@@ -96,6 +96,11 @@ def rank_in(bounds: Column, n_bounds: int, key: Column, strict: bool = False) ->
     )
 
 
+def quoted(name: str) -> str:
+    """A column name as column expressions take it, whatever characters it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names that df has not, made from names."""
     taken = {c.lower() for c in df.columns}

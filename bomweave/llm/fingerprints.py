@@ -7,6 +7,8 @@ The likeness of two fingerprints is the cosine that their differing bits stand f
 The votes of bits i and i + 32 of a hash are summed in the two halves of one long, so a term costs 64 additions inside
 generated code, and the exploded terms are summed without leaving the task: the rows of a document are already together.
 
+Fingerprints within a Hamming radius are found through permuted block tables (links()).
+
 Cases: a null text counts as empty; a text without words has fingerprint zero, like only to itself (likeness 1) and to nothing
 else (0); equal texts have equal fingerprints; texts of any length are read whole; an empty table gives no rows. Rows are
 ordered by descending id, null ids last, repeated ids by text. Only the id and text columns are read.
@@ -21,11 +23,13 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import rank_in, shuffle_partitions, words
+from bomweave.llm.common import materialize, rank_in, shuffle_partitions, words
 
 #: Most that one occurrence of a term weighs.
 MAX_WEIGHT = 24
 BITS = 128
+#: Differing bits up to which fingerprints are near, and queries of one block key that a task compares.
+RADIUS, SHARE = 3, 32
 _LANES = (1 << 32) | 1
 _SEEDS = ("", "b")
 
@@ -139,26 +143,62 @@ def beside_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def within(queries: DataFrame, table: DataFrame, radius: int = 3, extra: int = 1) -> DataFrame:
-    """All pairs (q, t, apart) of a query and a table fingerprint at `radius` or fewer differing bits.
+def links(queries: DataFrame, classes: DataFrame, radius: int = RADIUS, extra: int = 1) -> DataFrame:
+    """(q_hi, q_lo, t_hi, t_lo, apart): every query fingerprint with each of classes at `radius` or fewer differing bits, once.
 
-    Both have columns id, hi, lo. The 128 bits are cut into radius + extra blocks; a pair within the radius agrees on some
-    `extra` of them, so there is one table for every choice of `extra` blocks, permuted to the front as its key. Rows of equal
-    fingerprints are one row of a table until the pairs are found, and keys meet in one join for all tables; candidates are
-    then held against all bits.
+    Both have columns hi and lo, each fingerprint in one row. The 128 bits are cut into radius + extra blocks; a pair within the
+    radius agrees on some `extra` of them, so there is one table for every choice of `extra` blocks, permuted to the front as its
+    key. All tables meet in one join, which holds candidates against all bits and takes a pair from the first table that it
+    agrees in. A key of many queries, as a group of near copies has, is split by the classes' bits into shares, each with all its
+    queries.
     """
     blocks = radius + extra
     bounds = [round(BITS * i / blocks) for i in range(blocks + 1)]
     block = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in pairwise(bounds)]
-    masks = [sum(chosen) for chosen in combinations(block, extra)]
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
-    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), signed(m >> 64).alias("hi"), signed(m & (1 << 64) - 1).alias("lo")) for i, m in enumerate(masks))))
+    masks = [(signed(m >> 64), signed(m & (1 << 64) - 1)) for m in (sum(chosen) for chosen in combinations(block, extra))]
+    tables = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), hi.alias("hi"), lo.alias("lo")) for i, (hi, lo) in enumerate(masks))))
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         key = F.xxhash64("m.i", F.col("m.hi").bitwiseAND(F.col("hi")), F.col("m.lo").bitwiseAND(F.col("lo")))
-        return df.select("hi", "lo").distinct().withColumn("m", tables).select(key.alias("key"), F.col("hi").alias(f"{name}_hi"), F.col("lo").alias(f"{name}_lo"))
+        return df.select("hi", "lo", tables.alias("m")).select(key.alias("key"), F.col("hi").alias(f"{name}_hi"), F.col("lo").alias(f"{name}_lo"), F.col("m.i").alias(f"{name}_i"))
+
+    asked = materialize(keyed(queries, "q"), "block-keys")
+    shares = materialize(asked.groupBy("key").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1"), "hot-blocks")
+    spread = asked.join(shares, "key", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    held = keyed(classes, "t").join(shares, "key", "left").withColumn("share", F.pmod(F.xxhash64("t_hi", "t_lo"), F.coalesce("shares", F.lit(1)))).drop("shares")
+    q, t = (F.col("q_hi"), F.col("q_lo")), (F.col("t_hi"), F.col("t_lo"))
+    agree = lambda m: (q[0].bitwiseXOR(t[0]).bitwiseAND(m[0]) == 0) & (q[1].bitwiseXOR(t[1]).bitwiseAND(m[1]) == 0)
+    first = F.lit(len(masks))
+    for i in reversed(range(len(masks))):
+        first = F.when(agree(masks[i]), i).otherwise(first)
+    a, b = spread.alias("a"), held.alias("b")
+    meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.share") == F.col("b.share")) & (F.col("q_i") == F.col("t_i")) & (_bits_apart(q, t) <= radius) & (first == F.col("q_i"))
+    return a.join(b, meet).select("q_hi", "q_lo", "t_hi", "t_lo", _bits_apart(q, t).alias("apart"))
+
+
+def count_within(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """hi, lo and n of each distinct fingerprint of queries: how many rows of table (hi, lo) are within the radius.
+
+    Rows of equal fingerprints are one class; links between classes are counted where they are found, so no pair of rows is made.
+    """
+    classes = materialize(table.groupBy("hi", "lo").agg(F.count("*").alias("rows")), "classes")
+    found = links(queries.select("hi", "lo").distinct(), classes, radius)
+    sizes = classes.select(F.col("hi").alias("t_hi"), F.col("lo").alias("t_lo"), "rows")
+    return found.join(sizes, ["t_hi", "t_lo"]).groupBy(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")).agg(F.sum("rows").alias("n"))
+
+
+def with_near_rows(marked: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """marked (f_hi, f_lo, ...) with n_near: for rows that are asked, how many other rows have a fingerprint within the radius; else null."""
+    table = marked.select(F.col("f_hi").alias("hi"), F.col("f_lo").alias("lo"))
+    is_asked = F.coalesce(asked, F.lit(False))
+    near = materialize(count_within(marked.where(is_asked).select(F.col("f_hi").alias("hi"), F.col("f_lo").alias("lo")), table, radius), "near")
+    rows = marked.where(is_asked).join(near, (F.col("f_hi") == F.col("hi")) & (F.col("f_lo") == F.col("lo"))).select(*marked.columns, (F.col("n") - 1).alias("n_near"))
+    return marked.where(~is_asked).withColumn("n_near", F.lit(None).cast("long")).unionByName(rows)
+
 
-    apart = _bits_apart((F.col("q_hi"), F.col("q_lo")), (F.col("t_hi"), F.col("t_lo")))
-    found = keyed(queries, "q").join(keyed(table, "t"), "key").drop("key").withColumn("apart", apart).where(F.col("apart") <= radius).distinct()
+def within(queries: DataFrame, table: DataFrame, radius: int = RADIUS, extra: int = 1) -> DataFrame:
+    """(q, t, apart): the ids of all pairs of a query row and a table row (id, hi, lo) within the radius: for queries whose answers are few."""
+    found = links(queries.select("hi", "lo").distinct(), table.select("hi", "lo").distinct(), radius, extra)
     of = lambda df, name: df.select(F.col("id").alias(name), F.col("hi").alias(f"{name}_hi"), F.col("lo").alias(f"{name}_lo"))
     return found.join(of(queries, "q"), ["q_hi", "q_lo"]).join(of(table, "t"), ["t_hi", "t_lo"]).select("q", "t", "apart")

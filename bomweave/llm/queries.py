@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bomweave.llm import bpe, cotraining, fingerprints, language_id, packing, quality_rules, simhash_dedup, toxicity, url_filter, warc
-from bomweave.llm.common import table
+from bomweave.llm.common import materialize, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -21,11 +21,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fingerprints.beside_edited(table(spark, sf_dir, "documents"))
+    """n_near: of the queries, rows whose id is divisible by 50, how many other rows have a fingerprint within RADIUS bits."""
+    own = materialize(fingerprints.beside_edited(table(spark, sf_dir, "documents")), "beside-edited")
+    own = fingerprints.with_near_rows(own, F.col("doc_id") % 50 == 0)
     f, e, n = ((F.col(f"{x}_hi"), F.col(f"{x}_lo")) for x in "fen")
     return own.select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(*f).alias("fingerprint"), fingerprints.as_text(*e).alias("edited_fingerprint"),
-        fingerprints.likeness(f, e).alias("near_edited"), fingerprints.likeness(f, n).alias("near_next"),
+        fingerprints.likeness(f, e).alias("near_edited"), fingerprints.likeness(f, n).alias("near_next"), "n_near",
     )
 
 
@@ -39,7 +41,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
 def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +120,10 @@ def _op8() -> str:
 c{i} AS (SELECT {by}measure, bucket, count(*) AS n FROM v GROUP BY {by}measure, bucket),
 u{i} AS (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS total FROM c{i}),
 l{i} AS (SELECT {by}measure, max(total) AS total, {quartile} FROM u{i} GROUP BY {by}measure)"""
-    pick = ", ".join(f"CASE WHEN l0.total >= {quality_rules.LEAST_GROUP} THEN l0.{q} WHEN l1.total >= {quality_rules.LEAST_GROUP} THEN l1.{q} ELSE l2.{q} END AS {q}" for q in ("q1", "q2", "q3"))
+    weight, all_words = quality_rules.WEIGHT, ", ".join(f"'{m}'" for m in quality_rules.OWN_OF_LANGUAGE)
+    drawn = lambda x, y, n: f"CASE WHEN {x} >= {y} THEN {x} - (({x} - {y}) * {weight}) // ({n} + {weight}) ELSE {x} + (({y} - {x}) * {weight}) // ({n} + {weight}) END"
+    of_lang = ", ".join(f"CASE WHEN l1.measure IN ({all_words}) THEN l1.{q} ELSE {drawn(f'l1.{q}', f'l2.{q}', 'l1.total')} END AS {q}" for q in ("q1", "q2", "q3"))
+    pick = ", ".join(f"{drawn(f'l0.{q}', f'm1.{q}', 'l0.total')} AS {q}" for q in ("q1", "q2", "q3"))
     each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {value(m)} AS x FROM f WHERE NOT base_failed" for m in measures)
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -132,7 +137,8 @@ a AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_st
       FROM w LEFT JOIN z USING (doc_id)),
 f AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM a),
 v AS (SELECT lang, source, measure, x - x % (1::BIGINT << greatest(0, length(bin(x::BIGINT)) - 7)::INT) AS bucket FROM ({each})){levels},
-q AS (SELECT l0.lang, l0.source, l0.measure, {pick} FROM l0 JOIN l1 ON l0.lang IS NOT DISTINCT FROM l1.lang AND l0.measure = l1.measure JOIN l2 ON l0.measure = l2.measure),
+m1 AS (SELECT l1.lang, l1.measure, {of_lang} FROM l1 JOIN l2 ON l1.measure = l2.measure),
+q AS (SELECT l0.lang, l0.source, l0.measure, {pick} FROM l0 JOIN m1 ON l0.lang IS NOT DISTINCT FROM m1.lang AND l0.measure = m1.measure),
 b AS (SELECT lang, source, {", ".join(bounds)} FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({" AND ".join(tests)}, false) AS kept
 FROM f LEFT JOIN b ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source"""

@@ -66,6 +66,32 @@ def test_quality_cases(spark):
     assert quality_rules.judge(documents(spark, []), F.col("doc_id")).count() == 0
 
 
+def test_windows_of_a_long_text(spark):
+    """So many words that a hash cut by the bits of their number takes different windows for equal."""
+    n = 4_000_000
+    long = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.conv(i.cast("string"), 10, 36)), " "), F.lit(" 1 2 3"))
+    row = quality_rules.measured(spark.range(1).select("id", long.alias("t")), F.col("t"), F.col("id")).first()
+    assert (row.n_words, row.n_repeat_words) == (n + 3, 6)
+
+
+def test_small_groups_are_drawn_smoothly(spark):
+    """A rare language of long words keeps its documents, and a group's bounds change little with one more document."""
+    rng = random.Random(9)
+    text = lambda letters, size: " ".join("".join(rng.choices(letters, k=size + rng.randint(-1, 1))) for _ in range(80))
+    rows = [(i, text("abcdefghij", 5), "en", f"s{i % 2}") for i in range(600)] + [(1000 + i, text("abcdefghij", 14), "fi", "s0") for i in range(20)]
+    verdict = {r._other0: r.kept for r in quality_rules.judge(documents(spark, rows), F.col("doc_id")).collect()}
+    assert all(verdict.values())
+    measure = lambda n, v: [(0, "x", f"s{k}", v + 10 * (i % 7) * (k + 1), 100, 0, 1, 0, 0) for k in range(2) for i in range(n if k else 500)]
+    schema = "i int, lang string, source string, word_chars long, n_words long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+    most = [quality_rules.bounds(spark.createDataFrame(measure(n, 500), schema)).where("source = 's1'").first().word_length_most for n in (198, 199, 200, 201, 202)]
+    assert max(most) - min(most) <= 200
+
+
+def test_any_column_name(spark):
+    rows = spark.createDataFrame([(1, "a b " * 40, "en", "s", 5)], ["doc_id", "text", "lang", "source", "odd`na.me"])
+    assert quality_rules.keep(rows).columns == rows.columns
+
+
 def test_binary_search(spark):
     bounds = [-5, 0, 0, 3, 10]
     df = spark.range(-10, 15)

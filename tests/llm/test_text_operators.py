@@ -110,6 +110,15 @@ def test_edited_texts(spark, case, per_partition):
 
 def test_op2(spark, small):
     out = {r.doc_id: r for r in queries.op2_fingerprints(spark, small).collect()}
+    own = {i: int(r.fingerprint, 16) for i, r in out.items()}
+    following = dict(zip(sorted(own, reverse=True), [*sorted(own, reverse=True)[1:], max(own)], strict=True))
+
+    def like(a, b):
+        return 1 if a == b else 0 if 0 in (a, b) else max(0, np.cos(np.pi * (a ^ b).bit_count() / 128))
+
+    for i, r in out.items():
+        assert r.near_edited == pytest.approx(like(own[i], int(r.edited_fingerprint, 16))) and r.near_next == pytest.approx(like(own[i], own[following[i]]))
+        assert r.n_near == (None if i % 50 else sum((x ^ own[i]).bit_count() <= fingerprints.RADIUS for x in own.values()) - 1)
     rows = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{small}/documents.parquet").to_pylist()]
     for i, t, e, n in edited(rows):
         r = out.pop(i)
@@ -140,6 +149,22 @@ def test_block_tables_find_all(spark):
         assert {(r.q, r.t): r.apart for r in found} == want and len(found) == len(want)
 
 
+def test_near_rows_of_hot_blocks(spark):
+    """Groups of near copies that share blocks, with more queries in a block than a share takes, and repeated fingerprints."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1500):
+        x = int(rng.integers(3)) << 100 | 12345
+        for bit in rng.integers(0, 128, rng.integers(0, 5)).tolist():
+            x ^= 1 << bit
+        rows.append((i, *((h + 2**63) % 2**64 - 2**63 for h in (x >> 64, x & (1 << 64) - 1)), x))
+    table = spark.createDataFrame([r[:3] for r in rows], "id long, hi long, lo long")
+    asked = table.where("id % 5 = 0")
+    got = {(r.hi, r.lo): r.n for r in fingerprints.count_within(asked, table).collect()}
+    assert got == {r[1:3]: sum((r[3] ^ o[3]).bit_count() <= fingerprints.RADIUS for o in rows) for r in rows[::5]}
+    assert fingerprints.count_within(asked.limit(0), table).count() == fingerprints.count_within(asked, table.limit(0)).count() == 0
+
+
 def groups(points, radius):
     """Component of each of the distinct points, by comparing all pairs."""
     label = list(range(len(points)))
