@@ -80,6 +80,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_many_to_one(rows: DataFrame, key: str, ones: DataFrame, n: str = "n") -> DataFrame:
+    """rows with the columns of ones: a written table with one row a key, whose column n says how many rows have the key.
+
+    Keys of more than a 4 * partitions-th of all rows are at most as many, so those are broadcast and none of them lands in one
+    task; the others are shuffled.
+    """
+    total = ones.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) > total // (4 * shuffle_partitions(rows.sparkSession))
+    hot, rest = ones.where(often).drop(n), ones.where(~often).drop(n)
+    if hot.isEmpty():
+        return rows.join(rest, key)
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; none for a null text or one of white space only."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{WHITE_SPACE}+"), "")

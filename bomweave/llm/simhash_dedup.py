@@ -8,8 +8,10 @@ so the points are dealt to one forest a combination of blocks, by the exact bits
 blocks is 0, and the triangle bound of a tree over them prunes every other cell. Inside a cell a vantage-point tree splits
 the points by Hamming distance from a vantage point; two branches meet only in the strips that the triangle bound leaves. A
 cell of over `cell_limit` points is cut into shells around its vantage point, and only shells whose distance ranges overlap
-within the radius are queried together, in tasks of their own. Every cell gives a spanning forest of its links, never all
-pairs, and components are found by joins over those edges. Nothing but counts reaches the driver.
+within the radius are queried together, in tasks of their own. A cell of at most LEAF points is one leaf, and such cells are
+compared together. Every cell gives a spanning forest of its links, never all pairs, and components are found by joins over
+those edges; rows of a large component, or of a frequent fingerprint, are joined by join_many_to_one(). Nothing but counts
+reaches the driver.
 
 Cases: null text and a text without words have fingerprint zero, linked like any other; texts of fewer words than a shingle
 are one shingle; a repeated id keeps its rows, each labelled by its own fingerprint; null ids are labelled but never name a
@@ -28,12 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import map_batches, materialize, shuffle_partitions, unused
+from bomweave.llm.common import join_many_to_one, map_batches, materialize, shuffle_partitions, unused
 
 #: Points that one cell may hold before it is cut into shells.
 CELL_LIMIT = 8192
-#: Points of a tree's leaf, compared directly.
-LEAF = 256
+#: Points of a tree's leaf, compared directly, and pairs that two branches are compared in at once.
+LEAF, CROSS = 32, 1 << 20
 #: Points aimed at a cell when the number of blocks is chosen.
 CELL_AIM = 2048
 
@@ -135,7 +137,7 @@ def link(points: np.ndarray, radius: int) -> np.ndarray:
             if len(near_in) and len(near_out):
                 todo.append((near_in, near_out))
         else:
-            if len(a) * len(b) <= LEAF * LEAF * 16:
+            if len(a) * len(b) <= CROSS:
                 _blocks(points, links, a, b, radius)
                 continue
             if (links.label[a] == links.label[a[0]]).all() and (links.label[b] == links.label[a[0]]).all():
@@ -154,9 +156,9 @@ def link(points: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _blocks(points: np.ndarray, links: Links, a: np.ndarray, b: np.ndarray, radius: int) -> None:
-    for at in range(0, len(a), LEAF):
-        for to in range(0, len(b), LEAF * 16):
-            _compare(points, links, a[at : at + LEAF], b[to : to + LEAF * 16], radius)
+    for at in range(0, len(a), 256):
+        for to in range(0, len(b), CROSS // 256):
+            _compare(points, links, a[at : at + 256], b[to : to + CROSS // 256], radius)
 
 
 def _compare(points: np.ndarray, links: Links, a: np.ndarray, b: np.ndarray, radius: int) -> None:
@@ -189,7 +191,7 @@ def _small_cells(cells: np.ndarray, points: np.ndarray, radius: int, largest: in
 
 def edges_of_cells(radius: int):
     """A map over rows (cell, fp) sorted by cell: a spanning forest of each cell's links, as rows (a, b)."""
-    small = 33
+    small = LEAF + 1  # cells that are one leaf
 
     def solve(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         points = fps.view(np.uint64)
@@ -296,16 +298,16 @@ def _shells(dealt: DataFrame, hot: DataFrame, radius: int, limit: int) -> DataFr
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): for every node of an edge its component's least node, by alternating star contraction.
+    """(node, root): for every node of an edge, but that itself, its component's least node, by alternating star contraction.
 
-    Each round is two group-bys with map-side minima; labels are written to the shared folder, never collected. Rounds grow
-    with the logarithm of the longest chain.
+    Each round is two group-bys with map-side minima, whose results the edges are joined to, with frequent nodes apart; labels
+    are written to the shared folder, never collected. Rounds grow with the logarithm of the longest chain.
     """
     links, seen = materialize(links.where("a <> b").distinct(), "links"), None
     while True:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).withColumn("m", F.least("u", "m")).where("n > 0"), "least")
+        large = join_many_to_one(both.where("v > u"), "u", least).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
@@ -319,13 +321,19 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, cell_limit: int = CELL_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id, fp and component_id: the least id of the documents that links lead to, its own included."""
     marked = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    points = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "points")
-    roots = components(edges(points, radius, cell_limit))
-    rooted = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    # a fingerprint may be that of a third of all rows: its rows are split by Spark's skew join
-    return marked.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    points = materialize(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "points")
+    labels = named(points, "fp", components(edges(points, radius, cell_limit)))
+    return join_many_to_one(marked, "fp", labels).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def named(points: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, component_id, n) of written points (key, least, n): the least id of each component; roots (node, root) has all nodes but the roots."""
+    roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
+    linked = materialize(points.join(roots, points[key] == roots.node).select(key, "least", F.col("n").alias("rows"), "root"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "component-ids")
+    of_linked = join_many_to_one(linked, "root", least).select(key, "component_id", F.col("rows").alias("n"))
+    alone = points.join(roots.select(F.col("node").alias(key)), key, "left_anti").select(key, F.col("least").alias("component_id"), "n")
+    return materialize(of_linked.unionByName(alone), "labels")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
