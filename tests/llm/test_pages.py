@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import duckdb
@@ -69,6 +71,47 @@ def test_warc_segments_out_of_order_missing_and_altered(spark):
     assert by[None].payload is None and "missing" in by[None].problem
 
 
+def test_every_reference_resolves(spark):
+    """By the archives' own bytes: each record is a gzip member, ids are unique, and a revisit's reference is a response's id."""
+    path = new_path(spark, "warc")
+    rows = [*PAGES, (14, "u", "x" * 5000), (14, "u", "x" * 5000)]
+    warc.write(spark.createDataFrame([(str(i) if i is not None else None, u, h) for i, u, h in rows] + [("a:b/<c> é", "u", "q" * 200), ("a:b/<d>", "u", "q" * 200)], "page_id string, url string, html string"), path, segment_bytes=700)
+    heads, ends = [], {}
+    for r in spark.read.format("binaryFile").load(path).collect():
+        data = bytes(r.content)
+        offset = 0
+        while offset < len(data):  # each member alone
+            z = zlib.decompressobj(31)
+            own = z.decompress(data[offset:])
+            offset = len(data) - len(z.unused_data)
+            if own:
+                ((head, block),) = warc.parse(gzip.compress(own))
+                heads.append(head)
+        ends |= {h["warc-record-id"]: block for h, block in warc.parse(data)}
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids)) == len(ends)
+    by = dict(zip(ids, heads, strict=True))
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 7
+    for h in revisits:
+        there = by[h["warc-refers-to"]]
+        assert there["warc-type"] == "response" and there["warc-payload-digest"] == h["warc-payload-digest"]
+    out = warc.follow(warc.read(spark, path)).collect()
+    assert len(out) == len(rows) + 2 and not any(r.problem for r in out)
+    assert {r.refers_to for r in out if r.page in ("a:b/<c> é", "a:b/<d>")} == {None, "a:b/<c> é"}
+    lost = warc.follow(warc.read(spark, path).where("not (type = 'response' and page = '12')"))
+    assert [(r.page, r.problem, r.length) for r in lost.collect() if r.problem] == [("13", "the response is missing", None)]
+
+
+def test_archives_of_one_member_and_plain():
+    records = b"".join(r + warc.SEPARATOR for r in warc.page_records("1", None, "u", b"z" * 9000, "d", None, 700))
+    want = [*warc.parse(records)]
+    assert len(want) == 14 and [*warc.parse(gzip.compress(records))] == want
+    for bad in (records[:-3], gzip.compress(records)[:-9], b"junk" + records):
+        with pytest.raises(warc.BadRecord):
+            [*warc.parse(bad)]
+
+
 def test_chunked_framing():
     for n in (0, 1, 4095, 4096, 4097, 10_000):
         assert warc.unchunked(warc.chunked(bytes(n))) == bytes(n)
