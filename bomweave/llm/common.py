@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 WHITE_SPACE = "[\\x20\\x09-\\x0D]"
 
 
+#: A local master's folder where spark.checkpoint.dir is unset: made once a process, removed at its end.
+_OWN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark (the folder may be in any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="bomweave-")
-    atexit.register(shutil.rmtree, own, True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="bomweave-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return _OWN[0]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -1,18 +1,20 @@
 """Quality classifier by co-training on two views of a document.
 
-The content view is the character n-gram classifier of linear.py over the text. The metadata view is a logistic regression on
-language, source, length and layout figures (lines, and shares of character classes), never on words. Both start from the
-labelled rows; in every round each gives the pool documents that it is surest of, with its own label for them, to the other
-one's training rows, and both are fitted again. Labelled rows that neither was fitted on then calibrate each view and a combination of
-both logits, which scores all documents.
+The content view is the classifier of linear.py on the words of the text. The metadata view is a logistic regression on language,
+source, length and layout figures (lines, and shares of character classes): what is known of the page without reading a word. So
+no feature is in both views. Both start from the labelled rows; in every round each gives the pool documents that it is surest
+of, with its own label for them, to the other one's training rows, and both are fitted again. Labelled rows that neither was
+fitted on then calibrate each view and a combination of both logits, which scores all documents.
 
-The labelled rows are a bounded sample, drawn by a hash of the id: about MAX_LABELLED (a quarter of them for calibration); the
-views are fitted in one task. The pool is every unlabelled document that may be learned from: each round scores all of them with
-both views in a narrow map over whole texts and takes the surest of each label by a distributed top-k.
+The labelled rows are a bounded sample, drawn by a hash of the id: about MAX_LABEL of each label at most (a quarter of them for
+calibration), weighted back to the shares of all, so a rare label isn't lost; the views are fitted in one task. The pool is every
+unlabelled document that may be learned from: each round scores all of them with both views in a narrow map over whole texts and
+takes the surest of each label by a distributed top-k.
 
 Cases: null texts count as empty, null metadata as values of their own; of several labels of one document the greatest counts;
-without labels every score is 0.5 and every document is kept; repeated rows are scored each; a text of any length is read
-whole; an empty table gives no rows. Scores never read labels or ids.
+of several rows of a labelled id one is learned from; of equally sure documents those of the smallest ids are exchanged; without
+labels every score is 0.5 and every document is kept; repeated rows are scored each; a text of any length is read whole; an empty
+table gives no rows. Scores never read labels or ids.
 """
 
 from __future__ import annotations
@@ -28,11 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from bomweave.llm.common import map_batches, materialize
-from bomweave.llm.linear import BLOCK, GramModel, fit_dense, sigmoid
+from bomweave.llm.linear import BLOCK, WordModel, fit_dense, sigmoid
 
-MAX_LABELLED = 1_600
+MAX_LABEL = 800
 ROUNDS, PER_ROUND, SURE = 3, 150, 0.9
-SIZES = (1, 2, 3, 4)
 #: Score from which a document is kept.
 KEEP = 0.3
 _SEED = 5
@@ -82,10 +83,10 @@ class Content:
     """The view of the text."""
 
     def __init__(self) -> None:
-        self.model = GramModel(SIZES, False)
+        self.model = WordModel()
 
-    def fit(self, rows: list[Row], y: np.ndarray) -> None:
-        self.model.fit([r[0] for r in rows], y)
+    def fit(self, rows: list[Row], y: np.ndarray, weight: np.ndarray | None = None) -> None:
+        self.model.fit([r[0] for r in rows], y, weight)
 
     def logits(self, rows: list[Row]) -> np.ndarray:
         return np.array([self.model.logit(r[0]) for r in rows])
@@ -97,10 +98,10 @@ class Metadata:
     def __init__(self) -> None:
         self.mean = self.scale = self.weights = np.zeros(0)
 
-    def fit(self, rows: list[Row], y: np.ndarray) -> None:
+    def fit(self, rows: list[Row], y: np.ndarray, weight: np.ndarray | None = None) -> None:
         x = np.array([metadata(r) for r in rows])
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        self.weights = fit_dense((x - self.mean) / self.scale, y)
+        self.weights = fit_dense((x - self.mean) / self.scale, y, weight)
 
     def logits(self, rows: list[Row]) -> np.ndarray:
         if not rows:
@@ -135,19 +136,19 @@ class CoTrained:
         self._calibrate(check, check_y)
 
     @classmethod
-    def of(cls, own: list[tuple[list[Row], np.ndarray]], check: list[Row], check_y: np.ndarray) -> CoTrained:
-        """The views fitted once on their own rows, without an exchange."""
+    def of(cls, own: list[tuple[list[Row], np.ndarray, np.ndarray]], check: list[Row], check_y: np.ndarray, check_weight: np.ndarray) -> CoTrained:
+        """The views fitted once on their own rows (with labels and weights), without an exchange."""
         out = cls.__new__(cls)
         out.views, out.exchanged = [Content(), Metadata()], 0
-        for view, (x, labels) in zip(out.views, own, strict=True):
-            view.fit(x, labels)
-        out._calibrate(check, check_y)
+        for view, (x, labels, weight) in zip(out.views, own, strict=True):
+            view.fit(x, labels, weight)
+        out._calibrate(check, check_y, check_weight)
         return out
 
-    def _calibrate(self, check: list[Row], check_y: np.ndarray) -> None:
+    def _calibrate(self, check: list[Row], check_y: np.ndarray, weight: np.ndarray | None = None) -> None:
         z = np.column_stack([v.logits(check) for v in self.views])
-        self.single = [fit_dense(z[:, [i]], check_y) for i in range(2)]
-        self.both = fit_dense(z, check_y)
+        self.single = [fit_dense(z[:, [i]], check_y, weight) for i in range(2)]
+        self.both = fit_dense(z, check_y, weight)
 
     def scores(self, rows: list[Row]) -> np.ndarray:
         """Calibrated content score, metadata score and combined score of each row."""
@@ -163,15 +164,18 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     if len(n) < 2:
         return None
     dice = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30))
-    drawn = known.where(may_learn & (dice(_SEED) < min(1.0, MAX_LABELLED / sum(n.values())) * (1 << 30)))
+    shares = {label: min(1.0, MAX_LABEL / count) for label, count in n.items()}
+    drawn = known.where(may_learn & (dice(_SEED) < F.when(F.col("label") == 1, shares[1]).otherwise(shares[0]) * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
     rows = rows.where(may_learn & F.col("id").isNotNull()).withColumn("mark", F.xxhash64("text", "lang", "source", "n_chars"))
     plain = StructType([StructField("id", rows.schema["id"].dataType), *(StructField(c, LongType()) for c in ("mark", "to", "label"))])
-    chosen = rows.join(F.broadcast(drawn), "id").withColumn("to", F.lit(None).cast("long"))  # bounded by MAX_LABELLED; one scan of the texts
-    chosen = materialize(chosen.select(*rows.columns, "to", F.col("label").cast("long").alias("label")), "labelled")
+    found = rows.join(F.broadcast(drawn), "id")  # bounded by MAX_LABEL; one scan of the texts
+    one = found.groupBy("id", "label").agg(F.min_by(F.struct("text", "lang", "source", "n_chars", "mark"), "mark").alias("row"))
+    chosen = one.select("id", "row.*", F.lit(None).cast("long").alias("to"), F.col("label").cast("long").alias("label"))
+    chosen = materialize(chosen.select(*rows.columns, "to", "label"), "labelled")
     given: list[set[tuple[object, int]]] = [set(), set()]  # by the view that gave: at most 2 * PER_ROUND a round
     for r in range(ROUNDS + 1):
-        model = pickle.loads(map_batches(chosen.repartition(1), _fit, "model binary").first().model)
+        model = pickle.loads(map_batches(chosen.repartition(1), _fit(shares), "model binary").first().model)
         model.exchanged = sum(map(len, given))
         if r == ROUNDS:
             break
@@ -179,9 +183,10 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
         new = []
         for view, own in enumerate(given):
             past = docs.sparkSession.createDataFrame([(*k, None, None) for k in own], plain).select("id", "mark")
-            left = sure.join(F.broadcast(past), ["id", "mark"], "left_anti").dropDuplicates(["id", "mark"])
             z, bound = F.col(f"z{view}"), float(np.log(SURE / (1 - SURE)))
-            for label, found in ((1, left.where(z >= bound).orderBy(z.desc(), "id", "mark")), (0, left.where(z <= -bound).orderBy(z, "id", "mark"))):
+            left = sure.where(F.abs(z) >= bound).join(F.broadcast(past), ["id", "mark"], "left_anti")  # past: at most 2 * PER_ROUND a round
+            once = left.groupBy("id", "mark").agg(F.max(z).alias("z"))
+            for label, found in ((1, once.where("z > 0").orderBy(F.desc("z"), "id", "mark")), (0, once.where("z < 0").orderBy("z", "id", "mark"))):
                 for k in found.limit(PER_ROUND).select("id", "mark").collect():
                     own.add((k.id, k.mark))
                     new.append((k.id, k.mark, 1 - view, label))
@@ -191,17 +196,29 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     return model
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A pickled model of rows with labels: of the sample (`to` is null), and those given to one view."""
-    found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["id"], r["text"] or ""))
-    row = lambda r: (r["text"], r["lang"], r["source"], r["n_chars"])
-    own = [r for r in found if r["to"] is None]
-    check = [r for k, r in enumerate(own) if k % 4 == 3]
-    fit = [r for k, r in enumerate(own) if k % 4 != 3]
-    y = lambda part: np.array([float(r["label"]) for r in part])
-    parts = [fit + [r for r in found if r["to"] == view] for view in range(2)]
-    model = CoTrained.of([([*map(row, part)], y(part)) for part in parts], [*map(row, check)], y(check))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+def _fit(shares: dict[int, float]):
+    """A map from rows with labels to a pickled model: of the sample (`to` is null), drawn by these shares, and rows given to one view."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["id"], r["text"] or ""))
+        row = lambda r: (r["text"], r["lang"], r["source"], r["n_chars"])
+        check, fit = [], []
+        for label in (0, 1):  # a quarter of each label calibrates
+            own = [r for r in found if r["to"] is None and r["label"] == label]
+            check += own[3::4]
+            fit += [r for k, r in enumerate(own) if k % 4 != 3]
+        y = lambda part: np.array([float(r["label"]) for r in part])
+
+        def weight(part: list[dict]) -> np.ndarray:
+            """Of the sample back to the shares of all, 1 on average; 1 for rows that were given."""
+            own = np.array([1 / shares[r["label"]] if r["to"] is None else 0.0 for r in part])
+            return np.where(own > 0, own / max(own[own > 0].mean() if (own > 0).any() else 1, 1e-9), 1.0)
+
+        parts = [fit + [r for r in found if r["to"] == view] for view in range(2)]
+        model = CoTrained.of([([*map(row, part)], y(part), weight(part)) for part in parts], [*map(row, check)], y(check), weight(check))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return run
 
 
 def _logits(rows: DataFrame, model: CoTrained) -> DataFrame:

@@ -5,8 +5,9 @@ as a letter) is bound into one vector: its letters' vectors, shifted by 2, 1 and
 bundle (sum) of its trigram vectors; a language's prototype is the bundle of its documents' unit vectors. A text is given the
 language whose prototype has the greatest cosine with its vector, and that cosine, 0 at least, is its score.
 
-Prototypes are learned from at most `per_language` documents of each of at most `MAX_LANGUAGES` languages, drawn by a hash of the
-id from all that may be learned from. Partial bundles are integers, so their sum doesn't depend on order.
+Prototypes are learned from about `per_language` documents of each language at most, drawn by a hash of the id from all that may
+be learned from; every language that is given is learned, so the profiles take 4 KB for each word of that vocabulary. Partial
+bundles are integers, so their sum doesn't depend on order.
 
 Cases: a null text and one without letters are `und` with score 0; ties go to the first language by name; a text of any length
 is read whole, in blocks; repeated rows are judged each; where there is nothing to learn from, every text is `und`; a null id is
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bomweave.llm.common import map_batches
+from bomweave.llm.common import map_batches, materialize
 
 DIMENSIONS = 1024
 SEED = 20_240
-#: Documents of a language that a prototype is learned from, about, at most; and languages, at most, the most frequent first.
-PER_LANGUAGE, MAX_LANGUAGES = 2_000, 1_000
+#: Documents of a language that a prototype is learned from, about, at most.
+PER_LANGUAGE = 2_000
 #: Trigram vectors that a worker keeps; letters of a text that are bundled at once; and texts at once.
 KEPT_TRIGRAMS, BLOCK, TEXTS = 24_576, 1 << 19, 64
 #: Trigram vectors, and counts, that one multiplication takes.
@@ -164,11 +165,11 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     """Prototypes from the rows of docs where may_learn holds and a language is given."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), may_learn.alias("may"))
     rows = rows.where("may and lang is not null and id is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    shares = materialize(rows.groupBy("lang").agg((F.lit(per_language) / F.count("*")).alias("share")), "languages")
+    if shares.isEmpty():
         return Profiles([], np.zeros((0, DIMENSIONS)))
-    share = F.create_map(*(x for r in counts for x in (F.lit(r.lang), F.lit(per_language / r["count"]))))
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # a row a language, as a written table: Spark broadcasts it where it is known to be small
+    drawn = rows.join(shares, "lang").where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -190,7 +191,7 @@ def learn(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
 
 
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred and score of each row: a narrow map. The profiles, at most MAX_LANGUAGES vectors, are broadcast."""
+    """id, lang_pred and score of each row: a narrow map. The profiles, a vector a language, are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,13 @@
 
 Features are the distinct n-grams of a text, told apart by a 64-bit hash. Training counts in how many texts of each label an
 n-gram occurs; the ratio of the smoothed shares gives its log-count ratio r. The n-grams that separate the labels best are kept,
-at most MAX_FEATURES; a text has r at each of its kept n-grams, 0 elsewhere, and a logistic regression is fitted on that.
+at most MAX_FEATURES; a text has r at each of its kept n-grams, 0 elsewhere, and a logistic regression is fitted on that. WordModel
+is the same on the distinct words of a text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -164,19 +166,58 @@ class GramModel:
         return self
 
 
+@dataclass
+class WordModel:
+    """What each kept word (as white space separates them) adds to the logit of a text that has it."""
+
+    weights: dict[str, float] = field(default_factory=dict)
+    intercept: float = 0.0
+
+    def logit(self, text: str | None) -> float:
+        known = self.weights.get
+        return self.intercept + float(sum(sorted([v for w in set((text or "").split()) if (v := known(w)) is not None])))
+
+    def fit(self, texts: list[str | None], y: np.ndarray, weight: np.ndarray | None = None) -> WordModel:
+        """Keep the words that separate the labels best and fit their coefficients. With one label only, every text gets its (smoothed) share."""
+        y = np.asarray(y, float)
+        weight = np.ones(len(y)) if weight is None else weight
+        share = float((weight * y).sum() + 0.5) / float(weight.sum() + 1)
+        self.weights, self.intercept = {}, float(np.log(share / (1 - share)))
+        n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
+        if not n_pos or not n_neg:
+            return self
+        own = [set((t or "").split()) for t in texts]
+        both: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for words, label in zip(own, y.tolist(), strict=True):
+            both[int(label)].update(words)
+        names = sorted(w for w in both[0] | both[1] if both[0][w] + both[1][w] >= LEAST_TEXTS)
+        neg, pos = (np.array([c[w] for w in names], float) for c in both)
+        z = _separation(pos, neg, n_pos, n_neg)
+        best = np.sort(np.argsort(-z, kind="stable")[:MAX_FEATURES])
+        best = best[z[best] > 0]
+        place = {names[k]: i for i, k in enumerate(best.tolist())}
+        ratios = _log_ratio(pos, neg, n_pos, n_neg)[best]
+        if len(best):
+            x = [np.array(sorted(place[w] for w in words if w in place), np.int32) for words in own]
+            coefficients, self.intercept = fit_logistic(x, ratios, y, weight)
+            self.weights = {w: float(ratios[i] * coefficients[i]) for w, i in place.items()}
+        return self
+
+
 def sigmoid(z: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> np.ndarray:
+def fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, steps: int = 25) -> np.ndarray:
     """Coefficients, the intercept last, of a logistic regression on a dense matrix, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], l2)
     penalty[-1] = 1e-3
+    weight = np.ones(len(x)) if weight is None else weight
     for _ in range(steps):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (p - y)) + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

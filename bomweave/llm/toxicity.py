@@ -5,8 +5,9 @@ the id from all that may be learned from, weighted back to the shares of all. On
 size, is broadcast, and scoring is a narrow map over whole texts.
 
 Cases: null and empty texts get the score of a text without features; a text of any length is read whole, in blocks; of several
-labels of one document the greatest counts, and null labels none; where nothing is labelled every score is 0; repeated rows are
-scored each; an empty table gives no rows. Scores read the text only.
+labels of one document the greatest counts, and null labels none; of several rows of a labelled id that of the least text is
+learned from; n-grams that separate the labels equally well are kept in order of their hashes; where nothing is labelled every
+score is 0; repeated rows are scored each; an empty table gives no rows. Scores read the text only.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     dice = F.pmod(F.xxhash64("id", F.lit(_SEED)), F.lit(1 << 30))
     share = F.when(F.col("label") == 1, shares.get(1, 0.0)).otherwise(shares.get(0, 0.0))
     drawn = known.where(dice < share * (1 << 30))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")  # bounded by MAX_TOXIC and MAX_CLEAN
+    rows = rows.groupBy("id", "label").agg(F.min("text").alias("text"))  # an id may have any number of rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted(((i, label, t) for b in batches for i, t, label in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda x: (x[0], x[1], x[2] or ""))

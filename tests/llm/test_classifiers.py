@@ -196,6 +196,64 @@ def test_classifiers_without_enough_labels(spark, labels):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_gram_model_against_brute_force():
+    """Counts, log-count ratios and kept n-grams by plain sets, and logits as sums over the n-grams that a text has."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choices("abcde " if i % 3 else "defgh ", k=30)) for i in range(90)] + [None, ""]
+    y = np.array([float(i % 3 == 0) for i in range(90)] + [0.0, 0.0])
+    model = linear.GramModel((3, 4), True).fit(texts, y)
+
+    def grams(text):
+        own = f" {' '.join((text or '').lower().split())} "
+        return {own[i : i + n] for n in (3, 4) for i in range(len(own) - n + 1)}
+
+    name = {}
+    for t in texts:
+        for g in grams(t):
+            h = np.concatenate([x for x in linear.grams(t or "", (3, 4), True)])
+            own = f" {' '.join((t or '').lower().split())} "
+            for n, hashes in zip((3, 4), linear.grams(t or "", (3, 4), True), strict=False):
+                for i in range(len(own) - n + 1):
+                    name[int(hashes[i])] = own[i : i + n]
+        assert len(grams(t)) == len(set(h.tolist())) if t else True
+    sets = [grams(t) for t in texts]
+    pos = {g: sum(g in s for s, k in zip(sets, y, strict=True) if k) for g in set().union(*sets)}
+    neg = {g: sum(g in s for s, k in zip(sets, y, strict=True) if not k) for g in pos}
+    kept = [name[int(h)] for h in model.hashes]
+    assert len(kept) == len(set(kept)) and all(pos[g] + neg[g] >= linear.LEAST_TEXTS for g in kept)
+    want = [np.log((pos[g] + 1) / (y.sum() + 2)) - np.log((neg[g] + 1) / (len(y) - y.sum() + 2)) for g in kept]
+    assert np.allclose(model.ratios, want)
+    for t in ["abc def", "ghgh abcd", None, "zzz"]:
+        assert np.isclose(model.logit(t), model.intercept + sum(r * w for g, r, w in zip(kept, model.ratios, model.weights, strict=True) if g in grams(t)))
+
+
+def test_predictions_against_brute_force():
+    """Bundles by a loop over trigrams, cosines by hand, the first language of equals."""
+    rng = random.Random(22)
+    texts = ["".join(rng.choices("abcä 1.", k=rng.randint(0, 60))) for _ in range(40)] + [None, "", "123", "zz zz"]
+    trigrams = language_id.Trigrams()
+    prototypes = {k: sum(bundle(t, trigrams) for t in texts[i::3]) for i, k in enumerate(["b", "a", "c"])}
+    profiles = language_id.Profiles([*prototypes], np.array([*prototypes.values()]))
+    langs, scores = profiles.predict(texts, trigrams)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        own = bundle(t, trigrams)
+        if not own.any():
+            assert (lang, score) == ("und", 0)
+            continue
+        cosines = {k: float(own @ p / np.linalg.norm(own) / np.linalg.norm(p)) for k, p in prototypes.items()}
+        assert lang == max(cosines, key=cosines.get) and score == pytest.approx(max(0, max(cosines.values())), abs=1e-5)
+
+
+def bundle(text, trigrams):
+    """The sum of the bound vectors of a text's letter trigrams."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    own = f" {' '.join(letters.split())} " if letters.strip() else ""
+    out = np.zeros(language_id.DIMENSIONS)
+    for a, b, c in zip(own, own[1:], own[2:], strict=False):
+        out += np.roll(trigrams.letter(ord(a)), 2).astype(float) * np.roll(trigrams.letter(ord(b)), 1) * trigrams.letter(ord(c))
+    return out
+
+
 def test_linear_model_reads_whole_texts(monkeypatch):
     monkeypatch.setattr(linear, "BLOCK", 50)
     rng = random.Random(9)
