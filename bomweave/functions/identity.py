@@ -96,9 +96,10 @@ def effective_license(concluded: Column, declared: Column) -> Column:
 
 
 def natural_key(version: Column) -> Column:
-    """A key under which digit runs compare as numbers: 1.9.0 before 1.10.0."""
+    """A key under which digit runs of any length compare as numbers: 1.9.0 before 1.10.0. A run is led by how many digits it has."""
     runs = F.regexp_extract_all(F.lower(version), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), 24, "0")).otherwise(r)), "")
+    led = lambda digits: F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), led(F.regexp_replace(r, r"^0+(?=\d)", ""))).otherwise(r)), "")
 
 
 def purl_match_key(purl: Column) -> Column:

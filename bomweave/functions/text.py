@@ -13,13 +13,18 @@ MAX_LINKS = 8
 
 
 def format_bytes(n: Column) -> Column:
-    """1023 B, 1.0 KB, 1.5 MB: one decimal from a kilobyte on, halves upwards."""
+    """1023 B, 1.0 KB, 1.5 MB: one decimal from a kilobyte on, halves upwards; megabytes are the greatest unit."""
 
     def shown(unit: int, name: str) -> Column:
         tenths = F.floor((n * 20 + unit) / (2 * unit))
         return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {name}"))
 
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(1 << 10, "KB")).when(n < 1 << 30, shown(1 << 20, "MB")).otherwise(shown(1 << 30, "GB"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(1 << 10, "KB")).otherwise(shown(1 << 20, "MB"))
+
+
+def format_count(n: Column) -> Column:
+    """1234567 as 1,234,567."""
+    return F.format_number(n.cast("long"), 0)
 
 
 def tag_from_version(version: Column) -> Column:
@@ -31,6 +36,11 @@ def version_from_tag(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^(.*?)\.build-", "$1+")
 
 
+def registry_versions(tags: Column) -> Column:
+    """The versions that a registry's tags stand for, in the order of their characters."""
+    return F.sort_array(F.transform(F.filter(tags, lambda t: t.isNotNull()), version_from_tag))
+
+
 def common_folder(paths: DataFrame) -> DataFrame:
     """folder: the one that all paths (column path) begin with, empty where there is none. Least and greatest path decide."""
     parts = lambda c: F.slice(F.split(c, "/"), 1, F.greatest(F.size(F.split(c, "/")) - 1, F.lit(0)))

@@ -1,7 +1,8 @@
 """Graphs of documents and elements: roots, reach, levels, lanes, child edges, subtrees and plans over them.
 
 Closures are breadth-first: every step joins the frontier to the edges, drops what was visited by an anti join and writes the
-new frontier to the shared folder, so a plan never grows with the depth. Only emptiness of a frontier reaches the driver.
+new frontier below one folder of the shared folder, which is read as one table, so a plan never grows with the depth. Only
+emptiness of a frontier reaches the driver.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from bomweave.functions.identity import is_fetchable, is_sbom_like
 from bomweave.model import Workspace
+from bomweave.operators.order import numbered, numbered_within
 from bomweave.operators.resolve import document_edges, resolutions
-from bomweave.storage import materialize
+from bomweave.storage import Steps, materialize
 
 MAX_SUBTREE = 50_000
 
@@ -23,20 +25,18 @@ def frontier(starts: DataFrame, edges: DataFrame, keys: list[str], max_steps: in
     limit stops after the step in which that many rows were reached.
     """
     edges = materialize(edges, "edges")
-    step = materialize(starts.select(*keys).distinct().withColumn("level", F.lit(0).cast("long")), "level")
-    seen, level, reached = step, 0, 0
+    steps = Steps(edges.sparkSession, "levels")
+    step = steps.add(starts.select(*keys).distinct().withColumn("level", F.lit(0).cast("long")))
+    level, reached = 0, 0
     while max_steps is None or level < max_steps:
         level += 1
         following = step.join(edges, keys).select(*(F.col(f"next_{k}").alias(k) for k in keys)).distinct()
-        step = materialize(following.join(seen.select(*keys), keys, "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
+        step = steps.add(following.join(steps.all().select(*keys), keys, "left_anti").withColumn("level", F.lit(level).cast("long")))
         if limit is not None:
             reached += step.count()
-        if step.isEmpty():
-            return seen
-        seen = seen.unionByName(step)
-        if limit is not None and reached >= limit:
-            return seen
-    return seen
+        if step.isEmpty() or (limit is not None and reached >= limit):
+            break
+    return steps.all()
 
 
 def roots(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -93,21 +93,20 @@ def lanes(ws: Workspace, resolved: DataFrame) -> DataFrame:
     refs = resolved.select("doc_id", "doc_ref", "pos")
     below = stubs(resolved, level).join(refs, ["doc_id", "doc_ref"]).join(ws.document.select("doc_id", "ord"), "doc_id")
     stub = below.select(F.concat(F.lit("s:"), "doc_id", F.lit(":"), "doc_ref").alias("key"), F.lit("stub").alias("kind"), "doc_id", "doc_ref", "level", F.struct(F.lit(1).alias("s"), "ord", "pos").alias("at"))
-    by_index = Window.partitionBy("level").orderBy("at")
-    items = materialize(docs.unionByName(stub).withColumn("index", F.row_number().over(by_index) - 1), "items")
+    items = materialize(numbered_within(docs.unionByName(stub), "level", "at", name="index"), "items")
     owner = level.select(F.col("doc_id").alias("p"), F.col("level").alias("up"))
     parent = edges.select(F.concat(F.lit("d:"), "dst").alias("key"), F.col("src").alias("p")).unionByName(items.where("kind = 'stub'").select("key", F.col("doc_id").alias("p")))
     parent = parent.join(owner, "p").select("key", F.concat(F.lit("d:"), "p").alias("parent"), "up")
-    done = materialize(items.where("level = 0").withColumn("lane", F.col("index")).select("key", "level", "lane"), "lanes")
+    lanes = Steps(ws.document.sparkSession, "lanes")
+    lanes.add(items.where("level = 0").withColumn("lane", F.col("index")).select("key", "level", "lane"))
     deepest = items.agg(F.max("level")).first()[0] or 0
     for depth in range(1, deepest + 1):
         here = items.where(F.col("level") == depth)
-        above = done.where(F.col("level") == depth - 1).select(F.col("key").alias("parent"), F.col("lane").alias("up_lane"))
+        above = lanes.all().where(F.col("level") == depth - 1).select(F.col("key").alias("parent"), F.col("lane").alias("up_lane"))
         mean = parent.where(F.col("up") == depth - 1).join(above, "parent").groupBy("key").agg(F.avg("up_lane").alias("center"))
-        order = Window.partitionBy("level").orderBy(F.coalesce("center", F.col("index").cast("double")), "index")
-        placed = here.join(mean, "key", "left").withColumn("lane", F.row_number().over(order) - 1).select("key", "level", "lane")
-        done = done.unionByName(materialize(placed, "lanes"))
-    return items.join(done.select("key", "lane"), "key").select("key", "kind", "doc_id", "doc_ref", "level", "lane")
+        placed = numbered(here.join(mean, "key", "left"), F.coalesce("center", F.col("index").cast("double")), "index", name="lane")
+        lanes.add(placed.select("key", "level", "lane"))
+    return items.join(lanes.all().select("key", "lane"), "key").select("key", "kind", "doc_id", "doc_ref", "level", "lane")
 
 
 def removal_plan(ws: Workspace, edges: DataFrame, requested: DataFrame) -> DataFrame:
@@ -201,6 +200,15 @@ def subtree(starts: DataFrame, children: DataFrame, limit: int | None = MAX_SUBT
     return found if limit is None else found.orderBy("level").limit(limit)
 
 
+def subtree_of(ws: Workspace, starts: DataFrame, limit: int | None = MAX_SUBTREE) -> DataFrame:
+    """subtree() of starts in a workspace: child edges are made for the documents alone that references lead to from theirs."""
+    resolved, edges = graph_of(ws)
+    starts = materialize(starts.select("doc_id", "spdx_id").distinct(), "starts")
+    inside = materialize(reachable(starts.select("doc_id").distinct(), edges).select("doc_id"), "reached")
+    part = {name: getattr(ws, name).join(inside, "doc_id", "left_semi") for name in ("document", "element", "relationship")}
+    return subtree(starts, child_edges(ws.with_tables(**part), resolved.join(inside, "doc_id", "left_semi")), limit)
+
+
 def spanning_parents(edges: DataFrame, level: DataFrame, ws: Workspace) -> DataFrame:
     """(doc_id, parent): each document's first incoming edge from the level above, which makes the map a tree."""
     up, down = level.select(F.col("doc_id").alias("src"), F.col("level").alias("a")), level.select(F.col("doc_id").alias("dst"), F.col("level").alias("b"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from bomweave.functions.identity import effective_license, natural_key
 from bomweave.model import Workspace
+from bomweave.operators.order import numbered
+from bomweave.storage import materialize
 
 MAX_HITS = 500
 CSV_COLUMNS = ["name", "version", "license", "supplier", "purpose", "purl", "spdx_id", "kind", "doc_name"]
@@ -46,7 +48,10 @@ def facets(rows: DataFrame, documents: Iterable[str] | None = None, kinds: Itera
 
 
 def search(ws: Workspace, query: str, limit: int | None = MAX_HITS, **chosen: Iterable[str] | None) -> DataFrame:
-    """Inventory rows that match, with score and total (hits before the limit), best first; an empty query keeps document order."""
+    """Inventory rows that match, with score and total (hits before the limit), best first; an empty query keeps document order.
+
+    With a limit, hits are scored once and written; their number and the best of them are taken from that table.
+    """
     rows, query = facets(inventory(ws), **chosen), query.strip().lower()
     if not query:
         found = rows.withColumn("score", F.lit(0).cast("decimal(10,3)"))
@@ -55,9 +60,15 @@ def search(ws: Workspace, query: str, limit: int | None = MAX_HITS, **chosen: It
         found = rows.withColumn("score", score(query, F.lower("name"), blob)).where("score > 0")
     if limit is None:
         return found
-    total = found.agg(F.count("*").alias("total"))
-    top = found.orderBy(F.desc("score"), "ord", "pos").limit(limit)
-    return top.join(F.broadcast(total)).orderBy(F.desc("score"), "ord", "pos")  # total is one row
+    hits = materialize(found, "hits")
+    return hits.orderBy(F.desc("score"), "ord", "pos").limit(limit).withColumn("total", F.lit(hits.count()).cast("long"))
+
+
+def view(ws: Workspace, query: str = "", within: DataFrame | None = None, **chosen: Iterable[str] | None) -> DataFrame:
+    """The inventory as it is shown: packages alone unless kinds are chosen, and of the elements of within (doc_id, spdx_id) if given."""
+    kinds = chosen.pop("kinds", None) or ["package"]
+    rows = search(ws, query, limit=None, kinds=kinds, **chosen)
+    return rows if within is None else rows.join(within.select("doc_id", "spdx_id").distinct(), ["doc_id", "spdx_id"], "left_semi")
 
 
 def facet_counts(ws: Workspace, facet: str) -> DataFrame:
@@ -72,11 +83,20 @@ def top_facet(ws: Workspace, facet: str, n: int = 6) -> DataFrame:
     return facet_counts(ws, facet).orderBy(F.desc("n"), "value").limit(n)
 
 
-def sort_inventory(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    """By one column without regard to case and accents; versions by their numbers; ties in document order."""
+def _sort_key(key: str, descending: bool) -> Column:
     c = F.coalesce("doc_name" if key == "document" else key, F.lit(""))
     value = natural_key(c) if key == "version" else F.collate(c, "UNICODE_CI_AI")
-    return rows.orderBy(value.desc() if descending else value.asc(), "ord", "pos")
+    return value.desc() if descending else value.asc()
+
+
+def sort_inventory(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """By one column without regard to case and accents; versions by their numbers; ties in document order."""
+    return rows.orderBy(_sort_key(key, descending), "ord", "pos")
+
+
+def placed(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """Every row with its place (from 1) in that order, for inventories of any size."""
+    return numbered(rows, _sort_key(key, descending), "ord", "pos").withColumn("place", F.col("place") + 1)
 
 
 def escape_csv(c: Column) -> Column:
@@ -96,10 +116,22 @@ def to_csv(rows: DataFrame, with_vex: bool = False) -> str:
     return "".join(f"{line}\r\n" for line in [header, *(r.line for r in csv_lines(rows, with_vex).collect())])
 
 
-def to_json(rows: DataFrame) -> str:
-    """The same as a JSON array; absent values are left out."""
+def json_rows(rows: DataFrame) -> DataFrame:
+    """rows with `json`, the object of each: absent values are left out.
+
+    Rows overlaid with statements (vex_status, vex_findings) have vexStatus and vexFindings where something is stated.
+    """
     names = dict(zip([*CSV_COLUMNS, "doc_id"], [*CSV_HEADER, "documentId"], strict=True))
-    return json.dumps([{names[c]: r[c] for c in names if r[c] is not None} for r in rows.select(*names).collect()], indent=2, ensure_ascii=False)
+    own = [F.col(c).alias(n) for c, n in names.items()]
+    if "vex_findings" in rows.columns:
+        stated = F.size("vex_findings") > 0
+        own += [F.when(stated, F.col("vex_status")).alias("vexStatus"), F.when(stated, F.transform("vex_findings", lambda f: F.struct(f["vulnerability"].alias("vulnerability"), f["status"].alias("status")))).alias("vexFindings")]
+    return rows.withColumn("json", F.to_json(F.struct(*own)))
+
+
+def to_json(rows: DataFrame) -> str:
+    """The same as a JSON array with a line end, for results that fit the driver; write json_rows() for others."""
+    return json.dumps([json.loads(r.json) for r in json_rows(rows).collect()], indent=2, ensure_ascii=False) + "\n"
 
 
 def write_csv(rows: DataFrame, path: str, with_vex: bool = False) -> None:

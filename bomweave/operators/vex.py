@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from bomweave.functions.identity import cpe_match_key, match_key, purl_match_key
 from bomweave.model import Workspace
+from bomweave.operators.order import numbered
+from bomweave.storage import materialize
 
 #: Statuses, the worst first.
 STATUSES = ["affected", "under_investigation", "fixed", "not_affected"]
@@ -17,10 +19,9 @@ def status_rank(c: Column) -> Column:
 
 
 def element_keys(ws: Workspace) -> DataFrame:
-    """(doc_id, spdx_id, id, version): what an element of any kind can be matched by: its package URL and its CPEs."""
+    """(doc_id, spdx_id, keys): what an element of any kind can be matched by, its package URL and its CPEs: distinct (id, version)."""
     cpes = F.transform(F.filter(F.coalesce("external_refs", F.array().cast("array<struct<category:string,type:string,locator:string>>")), lambda r: F.lower(r["locator"]).startswith("cpe:")), lambda r: cpe_match_key(r["locator"]))
-    keys = F.array_compact(F.concat(F.array(purl_match_key(F.col("purl"))), cpes))
-    return ws.element.select("doc_id", "spdx_id", F.explode(keys).alias("k")).select("doc_id", "spdx_id", F.col("k.id").alias("id"), F.col("k.version").alias("element_version"))
+    return ws.element.select("doc_id", "spdx_id", F.array_distinct(F.array_compact(F.concat(F.array(purl_match_key(F.col("purl"))), cpes))).alias("keys")).where(F.size("keys") > 0)
 
 
 def candidates(statements: DataFrame) -> DataFrame:
@@ -33,21 +34,28 @@ def findings(ws: Workspace, statements: DataFrame) -> DataFrame:
     """(doc_id, spdx_id, vulnerability, status, cand_ord, superseded): the statement that holds and how many it replaces.
 
     A statement without a version fits every version; a statement that an element fits by several keys counts once. Newest
-    timestamp first, one that can't be read last, then the later statement. The join is by package, and statements meet in
-    an aggregate with map-side maxima, not in a window, so much-discussed packages aren't gathered.
+    timestamp first, one that can't be read last, then the later statement. Statements are reduced before they meet elements: to
+    the newest, with their number, of each package, version and vulnerability. So a much-discussed package brings one row a
+    vulnerability and version to the join; an element's keys are distinct, so no pair comes twice. What holds over versions is a
+    second maximum with map-side partial results.
     """
     c = candidates(statements).select("cand_ord", "vulnerability", "status", "id", "match_version", "at")
-    hits = element_keys(ws).join(c, "id").where("match_version is null or match_version = element_version").select("doc_id", "spdx_id", "vulnerability", "status", "cand_ord", "at").distinct()
     newest = F.max(F.struct(F.col("at").isNotNull().alias("dated"), "at", "cand_ord", "status"))
-    return hits.groupBy("doc_id", "spdx_id", "vulnerability").agg(newest.alias("n"), (F.count("*") - 1).alias("superseded")).select("doc_id", "spdx_id", "vulnerability", "n.status", "n.cand_ord", "superseded")
+    reduced = materialize(c.groupBy("id", "match_version", "vulnerability").agg(newest.alias("newest"), F.count("*").alias("n")), "statements")
+    keys = element_keys(ws)
+    versioned = keys.select("doc_id", "spdx_id", F.explode("keys").alias("k")).select("doc_id", "spdx_id", F.col("k.id").alias("id"), F.col("k.version").alias("match_version")).where("match_version is not null")
+    every = keys.select("doc_id", "spdx_id", F.explode(F.array_distinct(F.transform("keys", lambda k: k["id"]))).alias("id"))
+    hits = versioned.join(reduced, ["id", "match_version"]).drop("match_version").unionByName(every.join(reduced.where("match_version is null").drop("match_version"), "id"))
+    out = hits.groupBy("doc_id", "spdx_id", "vulnerability").agg(F.max("newest").alias("n"), (F.sum("n") - 1).alias("superseded"))
+    return out.select("doc_id", "spdx_id", "vulnerability", "n.status", "n.cand_ord", "superseded")
 
 
 def worst(found: DataFrame) -> DataFrame:
-    """(doc_id, spdx_id, worst, cells): the worst status of each element and its findings as text, the worst first."""
+    """(doc_id, spdx_id, worst, cells, findings): the worst status of each element and its findings, as text too, the worst first."""
     each = F.struct(status_rank(F.col("status")).alias("rank"), "vulnerability", "status")
     rows = found.groupBy("doc_id", "spdx_id").agg(F.array_sort(F.collect_list(each)).alias("f"))
     text = F.array_join(F.transform("f", lambda x: F.concat(x["vulnerability"], F.lit(" ("), x["status"], F.lit(")"))), "; ")
-    return rows.select("doc_id", "spdx_id", F.get("f", F.lit(0))["status"].alias("worst"), text.alias("cells"))
+    return rows.select("doc_id", "spdx_id", F.get("f", F.lit(0))["status"].alias("worst"), text.alias("cells"), F.transform("f", lambda x: F.struct(x["vulnerability"].alias("vulnerability"), x["status"].alias("status"))).alias("findings"))
 
 
 def ordered_findings(found: DataFrame) -> DataFrame:
@@ -57,8 +65,8 @@ def ordered_findings(found: DataFrame) -> DataFrame:
 
 
 def overlay(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Inventory rows with vex_status and vex_vulnerabilities, empty where nothing is stated."""
-    w = worst(found).select("doc_id", "spdx_id", F.col("worst").alias("vex_status"), F.col("cells").alias("vex_vulnerabilities"))
+    """Inventory rows with vex_status and vex_vulnerabilities, empty where nothing is stated, and vex_findings, null there."""
+    w = worst(found).select("doc_id", "spdx_id", F.col("worst").alias("vex_status"), F.col("cells").alias("vex_vulnerabilities"), F.col("findings").alias("vex_findings"))
     return rows.join(w, ["doc_id", "spdx_id"], "left").na.fill("", ["vex_status", "vex_vulnerabilities"])
 
 
@@ -67,15 +75,25 @@ def with_status(rows: DataFrame, statuses: list[str]) -> DataFrame:
     return rows.where(F.when(F.col("vex_status") == "", "none").otherwise(F.col("vex_status")).isin(*statuses))
 
 
-def sort_by_status(rows: DataFrame) -> DataFrame:
+def _status_order() -> list[Column | str]:
     rank = F.when(F.col("vex_status") == "", len(STATUSES)).otherwise(status_rank(F.col("vex_status")))
-    return rows.orderBy(rank, F.collate("name", "UNICODE_CI_AI"), "ord", "pos")
+    return [rank, F.collate("name", "UNICODE_CI_AI"), "ord", "pos"]
+
+
+def sort_by_status(rows: DataFrame) -> DataFrame:
+    """Overlaid rows, the worst status first and those without one last, then by name."""
+    return rows.orderBy(*_status_order())
+
+
+def placed_by_status(rows: DataFrame) -> DataFrame:
+    """Every row with its place (from 1) in that order."""
+    return numbered(rows, *_status_order()).withColumn("place", F.col("place") + 1)
 
 
 def coverage(ws: Workspace, found: DataFrame) -> DataFrame:
     """One row: packages in all, with a finding, without one, and with nothing to match by."""
     packages = ws.element.where("kind = 'package'").select("doc_id", "spdx_id")
-    keyed = element_keys(ws).select("doc_id", "spdx_id").distinct().withColumn("keyed", F.lit(True))
+    keyed = element_keys(ws).select("doc_id", "spdx_id").withColumn("keyed", F.lit(True))
     hit = found.select("doc_id", "spdx_id").distinct().withColumn("hit", F.lit(True))
     rows = packages.join(keyed, ["doc_id", "spdx_id"], "left").join(hit, ["doc_id", "spdx_id"], "left")
     return rows.agg(F.count("*").alias("total"), F.count_if("hit").alias("covered"), F.count_if(F.col("hit").isNull() & F.col("keyed").isNotNull()).alias("uncovered"), F.count_if(F.col("hit").isNull() & F.col("keyed").isNull()).alias("unmatchable"))

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomweave.model import BINDING, TABLES, Workspace
 
 
 def new_by_content(loaded: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows of batch (sha1, ord) whose bytes are neither loaded nor earlier in the batch."""
-    first = Window.partitionBy("sha1").orderBy("ord")
-    once = batch.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return once.join(loaded.select("sha1"), "sha1", "left_anti")
+    """Rows of batch (sha1, ord) whose bytes are neither loaded nor earlier in the batch.
+
+    What comes first is found by a minimum over two columns, so a frequent content isn't gathered with its rows.
+    """
+    first = batch.groupBy("sha1").agg(F.min("ord").alias("ord")).join(loaded.select("sha1"), "sha1", "left_anti")
+    return batch.join(first, ["sha1", "ord"], "left_semi")
 
 
 def renamed_ids(loaded: DataFrame, batch: DataFrame) -> DataFrame:
     """(old_id, ord, sha1, doc_id) of batch rows: an id that is taken gets the first 8 digits of the bytes' SHA-1."""
     taken = loaded.select("doc_id").withColumn("taken", F.lit(True)).distinct()
-    earlier = Window.partitionBy("doc_id").orderBy("ord")
-    rows = batch.select("doc_id", "ord", "sha1").join(taken, "doc_id", "left").withColumn("again", F.coalesce("taken", F.lit(False)) | (F.row_number().over(earlier) > 1))
+    first = batch.groupBy("doc_id").agg(F.min("ord").alias("first")).join(taken, "doc_id", "left")
+    rows = batch.select("doc_id", "ord", "sha1").join(first, "doc_id").withColumn("again", F.coalesce("taken", F.lit(False)) | (F.col("ord") > F.col("first")))
     return rows.select(F.col("doc_id").alias("old_id"), "ord", "sha1", F.when(F.col("again"), F.concat("doc_id", F.lit("~dup-"), F.substring("sha1", 1, 8))).otherwise(F.col("doc_id")).alias("doc_id"), "again")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from bomweave.functions import identity, text
 from bomweave.model import Workspace
-from bomweave.operators import acceptance, conflicts, graph, profile, quality, resolve, search, vex, workspace
-from bomweave.sources import export, files, star
+from bomweave.operators import acceptance, conflicts, graph, profile, quality, resolve, search, tree, vex, workspace
+from bomweave.sources import blobs, export, files, star, statements
 from bomweave.sources.star import sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,13 +147,14 @@ def inventory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_ws(spark, sf_dir), "brand", licenses=["MIT"], kinds=["package"]).select("doc_id", "spdx_id", "score", "total")
 
 
-@query("inventory_sorted", _with(("pk", "element", "document"), "", "SELECT doc_id, spdx_id, version, row_number() OVER (ORDER BY version::INT, ord, pos) AS place FROM element e JOIN document d USING (doc_id) QUALIFY place <= 1000"))
+@query("inventory_sorted", _with(("pk", "element", "document"), "", "SELECT doc_id, spdx_id, version, row_number() OVER (ORDER BY version::INT, ord, pos) AS place FROM element e JOIN document d USING (doc_id)"))
 def inventory_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page of 1,000 rows of the inventory by version: a top-k report."""
-    from pyspark.sql import Window
+    return search.placed(search.inventory(_ws(spark, sf_dir)), "version").select("doc_id", "spdx_id", "version", "place")
 
-    top = search.sort_inventory(search.inventory(_ws(spark, sf_dir)), "version").limit(1000)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(identity.natural_key(F.col("version")), "ord", "pos"))).select("doc_id", "spdx_id", "version", F.col("place").cast("long").alias("place"))
+
+@query("inventory_sorted_names", _with(("pk", "element", "document"), "", "SELECT doc_id, spdx_id, e.name, row_number() OVER (ORDER BY lower(e.name) DESC, ord, pos) AS place FROM element e JOIN document d USING (doc_id)"))
+def inventory_sorted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.placed(search.inventory(_ws(spark, sf_dir)), "name", descending=True).select("doc_id", "spdx_id", "name", "place")
 
 
 @query("inventory_csv", _with(("pk", "element", "document"), "", """SELECT doc_id, spdx_id, array_to_string(list_transform([name, version, license, supplier, purpose, purl, spdx_id, 'package', doc_name], lambda c: CASE WHEN regexp_matches(coalesce(c, ''), '[",\\n\\r;]') THEN '"' || replace(c, '"', '""') || '"' ELSE coalesce(c, '') END), ',') AS line
@@ -167,6 +168,12 @@ def facet_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.facet_counts(_ws(spark, sf_dir), "purpose")
 
 
+@query("facet_purpose_top6", _with(("pk", "element"), "", "SELECT purpose AS value, count(*) AS n FROM element GROUP BY purpose ORDER BY n DESC, value LIMIT 6"))
+def facet_purpose_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six values are the feature."""
+    return search.top_facet(_ws(spark, sf_dir), "purpose")
+
+
 @query("facet_license_top6", _with(("pk", "element"), "", "SELECT license AS value, count(*) AS n FROM element WHERE license IS NOT NULL GROUP BY license ORDER BY n DESC, value LIMIT 6"))
 def facet_license_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_facet(_ws(spark, sf_dir), "license")
@@ -180,7 +187,7 @@ def resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolutions(_ws(spark, sf_dir)).drop("uri")
 
 
-@query("suggestions", _graph_sql(", want AS (SELECT doc_id, doc_ref, list_distinct(list_filter(string_split_regex(lower(replace(doc_ref, 'DocumentRef-', '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM res WHERE target IS NULL AND structural),\nhit AS (SELECT w.doc_id, w.doc_ref, arg_min(d.doc_id, d.ord) AS suggestion_doc_id, 'looks like ' || arg_min(d.name, d.ord) AS reason FROM want w JOIN document d ON d.doc_id <> w.doc_id AND list_has_all(string_split_regex(lower(d.name), '[^a-z0-9]+'), w.w) GROUP BY w.doc_id, w.doc_ref)\nSELECT * FROM hit").replace("\n, want", ",\nwant"))
+@query("suggestions", _graph_sql(", want AS (SELECT doc_id, doc_ref, list_distinct(list_filter(string_split_regex(lower(regexp_replace(replace(doc_ref, 'DocumentRef-', ''), '[-_ ]v?\\d[\\w.]*$', '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM res WHERE target IS NULL AND structural),\nhit AS (SELECT w.doc_id, w.doc_ref, arg_min(d.doc_id, d.ord) AS suggestion_doc_id, 'looks like ' || arg_min(d.name, d.ord) AS reason FROM want w JOIN document d ON d.doc_id <> w.doc_id AND list_has_all(string_split_regex(lower(d.name), '[^a-z0-9]+'), w.w) GROUP BY w.doc_id, w.doc_ref)\nSELECT * FROM hit").replace("\n, want", ",\nwant"))
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = _ws(spark, sf_dir)
     return resolve.suggestions(ws, resolve.resolutions(ws))
@@ -310,11 +317,30 @@ def child_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.child_edges(ws, resolve.resolutions(ws)).select("doc_id", "parent_id", "child_doc", "child_id", "type", "placeholder_ref")
 
 
-@query("subtree", _tree_sql(f"{_CHILD},\nsub(doc_id, spdx_id) AS (SELECT 'r0', 'SPDXRef-DOCUMENT' UNION SELECT child_doc, child_id FROM sub JOIN child c ON c.doc_id = sub.doc_id AND c.parent_id = sub.spdx_id WHERE child_id IS NOT NULL)\nSELECT doc_id, spdx_id FROM sub"))
+@query("subtree", _tree_sql(f"{_CHILD},\nsub(doc_id, spdx_id) AS (SELECT doc_id, spdx_id FROM element WHERE pos < 40 UNION SELECT child_doc, child_id FROM sub JOIN child c ON c.doc_id = sub.doc_id AND c.parent_id = sub.spdx_id WHERE child_id IS NOT NULL)\nSELECT doc_id, spdx_id FROM sub"))
 def subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements at or below the first parts of all documents."""
+    ws = _ws(spark, sf_dir)
+    return graph.subtree_of(ws, ws.element.where("pos < 40"), limit=None).select("doc_id", "spdx_id")
+
+
+@query("subtree_of_document", _tree_sql(f"{_CHILD},\nsub(doc_id, spdx_id) AS (SELECT 'n1', 'SPDXRef-DOCUMENT' UNION SELECT child_doc, child_id FROM sub JOIN child c ON c.doc_id = sub.doc_id AND c.parent_id = sub.spdx_id WHERE child_id IS NOT NULL)\nSELECT doc_id, spdx_id FROM sub"))
+def subtree_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All below one nation, through the boundaries of its suppliers' documents; other documents' edges aren't made."""
+    ws = _ws(spark, sf_dir)
+    return graph.subtree_of(ws, ws.document.where("doc_id = 'n1'"), limit=None).select("doc_id", "spdx_id")
+
+
+@query("inventory_view", _tree_sql(f"""{_CHILD},
+sub(doc_id, spdx_id) AS (SELECT doc_id, spdx_id FROM element WHERE pos < 40 UNION SELECT child_doc, child_id FROM sub JOIN child c ON c.doc_id = sub.doc_id AND c.parent_id = sub.spdx_id WHERE child_id IS NOT NULL)
+SELECT doc_id, spdx_id, e.name FROM element e SEMI JOIN sub USING (doc_id, spdx_id) WHERE doc_id IN ('s1', 's2', 's3', 's5') AND purpose LIKE '%BRASS'"""))
+def inventory_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of four documents and some purposes, within what lies below the first parts."""
     ws = _ws(spark, sf_dir)
-    start = ws.document.where("doc_id = 'r0'").select("doc_id", "spdx_id")
-    return graph.subtree(start, graph.child_edges(ws, graph.graph_of(ws)[0]), limit=None).select("doc_id", "spdx_id")
+    below = graph.subtree_of(ws, ws.element.where("pos < 40"), limit=None)
+    purposes = [r.p_type for r in table(spark, sf_dir, "part").where("p_type like '%BRASS'").select("p_type").distinct().collect()]  # a vocabulary of 150
+    files_too = ws.with_tables(element=ws.element.unionByName(ws.element.withColumns({"kind": F.lit("file"), "spdx_id": F.concat(F.lit("F"), "spdx_id")})))
+    return search.view(files_too, within=below, documents=["s1", "s2", "s3", "s5"], purposes=purposes).select("doc_id", "spdx_id", "name")
 
 
 @query("dangling_ends", _tree_sql("\nSELECT r.doc_id, rel_index, side, spdx_id FROM (SELECT doc_id, rel_index, 'from' AS side, from_id AS spdx_id FROM relationship UNION ALL SELECT doc_id, rel_index, 'to', to_id FROM relationship WHERE to_kind = 'local') r WHERE spdx_id <> 'SPDXRef-DOCUMENT' AND NOT EXISTS (SELECT 1 FROM element e WHERE e.doc_id = r.doc_id AND e.spdx_id = r.spdx_id)"))
@@ -417,6 +443,34 @@ def profile_custom_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluated(spark, sf_dir, _GATES, "2024-09-01T00:00:00Z")
 
 
+@query("profile_delivery", _profile_sql([("document-field-0", "true"), ("document-field-1", "len(creators) > 0"), ("document-field-2", "created IS NOT NULL"), ("relationships-3", _RELATED)], [("package-coverage-4", "true", "100"), ("package-coverage-5", "alg IS NOT NULL", "NULL"), ("package-coverage-6", "download_location <> 'NOASSERTION'", "NULL"), ("package-coverage-7", "purl IS NOT NULL", "NULL")]))
+def profile_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir, profile.select(None, "ocm"))
+
+
+@query("profile_values", _tree_sql("""\nSELECT doc_id, 'document-field-0' AS id, 'Document creators' AS label, CASE WHEN len(creators) > 0 THEN array_to_string(creators, ' · ') ELSE 'missing' END AS actual, NULL::DOUBLE AS threshold FROM document
+UNION ALL SELECT doc_id, 'document-field-1', 'Document created', coalesce(created, 'missing'), NULL FROM document
+UNION ALL SELECT doc_id, 'relationships-2', 'Relationships', (SELECT count(*) FROM relationship r WHERE r.doc_id = document.doc_id)::VARCHAR, NULL FROM document
+UNION ALL SELECT doc_id, 'long', 'A long text', namespace || ' ' || repeat('x', 119 - length(namespace) - 3) || CASE WHEN doc_id[1] = 's' THEN '...' ELSE 'xxx' END, NULL FROM document
+UNION ALL SELECT doc_id, 'package-coverage-4', 'Packages with version', NULL, 90 FROM document"""))
+def profile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels, shown values and thresholds; a text of over 120 characters is cut."""
+    ws = _ws(spark, sf_dir)
+    size = F.when(F.col("doc_id").startswith("s"), 130).otherwise(120)
+    long = ws.document.withColumn("comment", F.rpad(F.concat("namespace", F.lit(" ")), size, F.lit("x")))
+    checks = (profile.Check("document-field", field="creators"), profile.Check("document-field", field="created"), profile.Check("relationships"), profile.Check("document-field", id="long", label="A long text", field="comment"), profile.Check("package-coverage", field="version", threshold=90))
+    return profile.evaluate(ws.with_tables(document=long), profile.Profile("values", checks)).select("doc_id", "id", "label", "actual", "threshold")
+
+
+@query("profile_baselines", _with(("document",), "", "SELECT doc_id, ord % 5 IN (0, 2, 3) AS pass, ['SPDX-3.0.1', 'CycloneDX-1.5', 'CycloneDX-1.6', 'CycloneDX-2.0', 'SPDX-2.3'][ord % 5 + 1] AS actual FROM document"))
+def profile_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of five formats against a profile that asks for two of them."""
+    ws, k = _ws(spark, sf_dir), (F.col("ord") % 5).cast("int")
+    models, versions = ["spdx-3", "cyclonedx", "cyclonedx", "cyclonedx", "spdx-2"], ["SPDX-3.0.1", "CycloneDX-1.5", "CycloneDX-1.6", "CycloneDX-2.0", "SPDX-2.3"]
+    mixed = ws.document.withColumns({"model": F.get(F.lit(models), k), "version": F.get(F.lit(versions), k)})
+    return profile.evaluate(ws.with_tables(document=mixed), profile.BSI).where("id = 'format-baseline'").select("doc_id", "pass", "actual")
+
+
 @query("profile_tallies", _profile_sql([("a", "created IS NOT NULL"), ("b", "len(creators) = 2"), ("c", "len(creators) > 0"), ("d", _RELATED)], []).replace("\nSELECT doc_id, 'a'", ",\nchecks AS (SELECT doc_id, 'a'", 1) + ")\nSELECT doc_id, count(*) FILTER (pass) AS gated_passed, count(*) FILTER (NOT pass) AS gated_failed, 5::BIGINT AS informational FROM checks GROUP BY doc_id")
 def profile_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.tallies(profile.evaluate(_ws(spark, sf_dir), profile.CISA))
@@ -449,7 +503,7 @@ def vex_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vex_worst", _with(_VEX_VIEWS, _VEX, "SELECT * FROM worst"))
 def vex_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vex.worst(_found(spark, sf_dir)[1])
+    return vex.worst(_found(spark, sf_dir)[1]).drop("findings")
 
 
 @query("vex_finding_order", _with(_VEX_VIEWS, _VEX, "SELECT doc_id, spdx_id, vulnerability, row_number() OVER (PARTITION BY doc_id, spdx_id ORDER BY rank, vulnerability)::INT AS place FROM ranked"))
@@ -468,6 +522,24 @@ def vex_inventory_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vex.with_status(vex.overlay(search.inventory(ws), found), ["affected", "fixed"]).select("doc_id", "doc_name", "spdx_id", "name", "vex_status", "vex_vulnerabilities")
 
 
+@query("vex_sorted", _with(_VEX_VIEWS, _VEX, "SELECT e.doc_id, spdx_id, row_number() OVER (ORDER BY coalesce(list_position(['affected', 'under_investigation', 'fixed', 'not_affected'], w.worst), 5), lower(e.name), d.ord, e.pos) AS place FROM element e JOIN document d USING (doc_id) LEFT JOIN worst w USING (doc_id, spdx_id)"))
+def vex_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws, found = _found(spark, sf_dir)
+    return vex.placed_by_status(vex.overlay(search.inventory(ws), found)).select("doc_id", "spdx_id", "place")
+
+
+_JSON_CELL = "CASE WHEN {0} IS NOT NULL THEN '\"{1}\":' || to_json({0})::VARCHAR END"
+_JSON_CELLS = ", ".join(_JSON_CELL.format(c, n) for c, n in {"e.name": "name", "version": "version", "license": "license", "supplier": "supplier", "purpose": "purpose", "purl": "purl", "spdx_id": "spdxId", "'package'": "kind", "d.name": "document", "e.doc_id": "documentId", "w.worst": "vexStatus"}.items())
+
+
+@query("inventory_json", _with(_VEX_VIEWS, _VEX + """,
+each AS (SELECT doc_id, spdx_id, string_agg('{"vulnerability":"' || vulnerability || '","status":"' || status || '"}', ',' ORDER BY rank, vulnerability) AS l FROM ranked GROUP BY ALL)""", f"""SELECT e.doc_id, spdx_id, '{{' || concat_ws(',', {_JSON_CELLS}, CASE WHEN l IS NOT NULL THEN '"vexFindings":[' || l || ']' END) || '}}' AS json
+ FROM element e JOIN document d USING (doc_id) LEFT JOIN worst w USING (doc_id, spdx_id) LEFT JOIN each USING (doc_id, spdx_id)"""))
+def inventory_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws, found = _found(spark, sf_dir)
+    return search.json_rows(vex.overlay(search.inventory(ws), found)).select("doc_id", "spdx_id", "json")
+
+
 # Delivered files
 
 _CHECKED = """checked AS (SELECT 'f-' || source AS doc_id, 'F' || doc_id AS spdx_id, './texts/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 11 = 4 THEN 'missing' WHEN doc_id % 13 = 0 OR doc_id % 17 = 0 THEN 'unverifiable' WHEN doc_id % 10 = 3 THEN 'mismatch' ELSE 'match' END AS verdict,
@@ -498,9 +570,9 @@ def delivery_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Batches
 
 
-@query("batch_dedupe_sha1", "SELECT min(doc_id) AS ord, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL GROUP BY text")
+@query("batch_dedupe_sha1", "SELECT min(doc_id) AS ord, sha1(coalesce(text, '')) AS sha1 FROM documents GROUP BY coalesce(text, '')")
 def batch_dedupe_sha1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("ord"), F.sha1("text").alias("sha1"))
+    batch = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.sha1(F.coalesce("text", F.lit(""))).alias("sha1"))
     return workspace.new_by_content(batch.where("false"), batch).select("ord", "sha1")
 
 
@@ -515,9 +587,8 @@ def namespace_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str, write: Callable[[Workspace], DataFrame]) -> DataFrame:
-    """Rows of parsed files, one a supplier's document."""
-    ws = _ws(spark, sf_dir)
-    return files.scan(write(ws).where("doc_id like 's%'").select("path", "content"))
+    """Rows of parsed files, one a document of the workspace."""
+    return files.scan(write(_ws(spark, sf_dir)).select("path", "content"))
 
 
 def _elements(rows: DataFrame) -> DataFrame:
@@ -543,13 +614,13 @@ def cyclonedx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(_parsed(spark, sf_dir, export.cyclonedx)).where("spdx_id <> 'document'")
 
 
-@query("relationships_roundtrip", _with(("pk", "relationship", "document"), "", "SELECT d.name AS doc_name, type, from_id, to_kind, to_ref, to_id FROM relationship r JOIN document d USING (doc_id) WHERE r.doc_id[1] = 's' UNION ALL SELECT name, 'DESCRIBES', 'SPDXRef-DOCUMENT', 'local', NULL, root FROM document WHERE root IS NOT NULL"))
+@query("relationships_roundtrip", _with(("pk", "relationship", "document"), "", "SELECT d.name AS doc_name, type, from_id, to_kind, to_ref, CASE WHEN to_kind = 'external' THEN coalesce(to_id, 'SPDXRef-DOCUMENT') ELSE to_id END AS to_id FROM relationship r JOIN document d USING (doc_id) UNION ALL SELECT name, 'DESCRIBES', 'SPDXRef-DOCUMENT', 'local', NULL, root FROM document WHERE root IS NOT NULL"))
 def relationships_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _parsed(spark, sf_dir, export.spdx_json)
     return rows.select(F.col("document.name").alias("doc_name"), F.explode("relationships").alias("r")).select("doc_name", "r.type", "r.from_id", "r.to_kind", "r.to_ref", "r.to_id")
 
 
-@query("lint_spdx2", _with(("pk", "element", "document"), "", """SELECT name AS doc_name, 'SPDX2_SCHEMA_BAD_DATA_LICENSE' AS code FROM document WHERE doc_id[1] = 's' AND data_license IS NULL
+@query("lint_spdx2", _with(("pk", "element", "document"), "", """SELECT name AS doc_name, 'SPDX2_SCHEMA_BAD_DATA_LICENSE' AS code FROM document WHERE data_license <> 'CC0-1.0'
 UNION ALL SELECT DISTINCT d.name, 'SPDX2_SCHEMA_BAD_PACKAGE_PURPOSE' FROM element e JOIN document d USING (doc_id) WHERE purpose NOT IN ('APPLICATION', 'ARCHIVE', 'CONTAINER', 'DEVICE', 'FILE', 'FIRMWARE', 'FRAMEWORK', 'INSTALL', 'LIBRARY', 'OPERATING_SYSTEM', 'OTHER', 'SOURCE')
 UNION ALL SELECT DISTINCT d.name, 'SPDX2_SCHEMA_BAD_SPDXID' FROM element e JOIN document d USING (doc_id)"""))
 def lint_spdx2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,22 +634,206 @@ def unknown_docrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.exists("diagnostics", lambda d: d["code"] == "REL_UNKNOWN_DOCREF")).select(F.col("document.name").alias("doc_name"))
 
 
+@query("spdx_yaml_roundtrip", _with(("pk", "element", "document"), "", _BACK))
+def spdx_yaml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, export.spdx_yaml))
+
+
+@query("archive_roundtrip", _with(("pk", "element", "document"), "", _BACK))
+def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, lambda ws: export.archived(export.tag_value(ws))))
+
+
+@query("spdx3_roundtrip", _with(("pk", "element", "document"), "", "SELECT d.name AS doc_name, namespace || '#' || spdx_id AS spdx_id, e.name, version, purl, CASE WHEN supplier NOT IN ('NOASSERTION', 'NONE') THEN 'Organization: ' || supplier ELSE 'urn:org:' || supplier END AS supplier FROM element e JOIN document d USING (doc_id)"))
+def spdx3_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, export.spdx3))
+
+
+@query("spdx3_relationships", _with(("pk", "relationship", "document"), "", """SELECT d.name AS doc_name, type, namespace || '#' || from_id AS from_id, namespace || '#' || to_id AS to_id FROM relationship r JOIN document d USING (doc_id) WHERE to_kind = 'local'
+ UNION ALL SELECT name, 'DESCRIBES', namespace, namespace || '#' || root FROM document WHERE root IS NOT NULL"""))
+def spdx3_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir, export.spdx3)
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("relationships").alias("r")).select("doc_name", "r.type", "r.from_id", "r.to_id")
+
+
+@query("descriptor_roundtrip", _with(("pk", "element", "document"), "", """SELECT 'example.org/td/' || doc_id AS doc_name, e.name, version, 'pkg:oci/' || lower(spdx_id) || '@' || version || '?repository_url=example.org/' || lower(spdx_id) AS purl, 'Organization: ' || d.name AS supplier FROM element e JOIN document d USING (doc_id)
+ UNION ALL SELECT 'example.org/td/' || doc_id, 'example.org/td/' || doc_id, '1.0.0', NULL, 'Organization: ' || name FROM document"""))
+def descriptor_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, export.descriptor)).drop("spdx_id")
+
+
+@query("descriptor_references", _with(("ext_ref",), "", "SELECT 'example.org/td/' || doc_id AS doc_name, doc_ref, 'ocm://example.org/td/' || regexp_extract(uri, '([^:/]+)$', 1) || '/1.0.0' AS uri FROM (SELECT doc_id, uri, 'DocumentRef-' || regexp_replace(doc_ref, '[^A-Za-z0-9.-]', '-', 'g') AS doc_ref FROM ext_ref)"))
+def descriptor_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir, export.descriptor)
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("ext_refs").alias("r")).select("doc_name", "r.doc_ref", "r.uri")
+
+
+def _facts(spark: SparkSession, sf_dir: str, write: Callable[[Workspace], DataFrame]) -> DataFrame:
+    d = _parsed(spark, sf_dir, write).select("document.*")
+    return d.select("name", "namespace", "spdx_id", "version", "created", F.array_join("creators", "|").alias("creators"), "data_license", F.array_join("describes", "|").alias("describes"))
+
+
+_FACTS = _with(("document",), "", "SELECT name, namespace, 'SPDXRef-DOCUMENT' AS spdx_id, 'SPDX-2.3' AS version, created, array_to_string(creators, '|') AS creators, data_license, coalesce(root, '') AS describes FROM document")
+
+
+@query("document_facts_json", _FACTS)
+def document_facts_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir, export.spdx_json)
+
+
+@query("document_facts_tags", _FACTS)
+def document_facts_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir, export.tag_value)
+
+
+_DETAILS = _with(("pk", "element", "document"), "", "SELECT d.name AS doc_name, spdx_id, originator, download_location, license_concluded, license_declared, purpose, alg || ':' || digest AS sums, 'PACKAGE-MANAGER purl ' || purl AS refs FROM element e JOIN document d USING (doc_id)")
+
+
+def _details(spark: SparkSession, sf_dir: str, write: Callable[[Workspace], DataFrame]) -> DataFrame:
+    e = _parsed(spark, sf_dir, write).select(F.col("document.name").alias("doc_name"), F.explode("elements").alias("e")).select("doc_name", "e.*")
+    sums = F.array_join(F.transform("checksums", lambda c: F.concat(c["algorithm"], F.lit(":"), c["value"])), "|")
+    refs = F.array_join(F.transform("external_refs", lambda r: F.concat_ws(" ", r["category"], r["type"], r["locator"])), "|")
+    return e.select("doc_name", "spdx_id", "originator", "download_location", "license_concluded", "license_declared", "purpose", sums.alias("sums"), refs.alias("refs"))
+
+
+@query("element_details_json", _DETAILS)
+def element_details_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _details(spark, sf_dir, export.spdx_json)
+
+
+@query("element_details_tags", _DETAILS)
+def element_details_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _details(spark, sf_dir, export.tag_value)
+
+
+_REFS = _with(("ext_ref", "document"), "", "SELECT d.name AS doc_name, doc_ref, uri, CASE WHEN sum IS NOT NULL THEN 'SHA1' END AS checksum_alg, sum AS checksum_value FROM ext_ref JOIN document d USING (doc_id)")
+
+
+def _refs_back(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("ext_refs").alias("r")).select("doc_name", "r.doc_ref", "r.uri", "r.checksum_alg", "r.checksum_value")
+
+
+@query("ext_refs_json", _REFS)
+def ext_refs_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refs_back(_parsed(spark, sf_dir, export.spdx_json))
+
+
+@query("ext_refs_tags", _REFS)
+def ext_refs_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refs_back(_parsed(spark, sf_dir, export.tag_value))
+
+
+@query("cyclonedx_dependencies", _with(("pk", "element", "relationship", "document"), "", """SELECT DISTINCT d.name AS doc_name, from_id, to_id FROM relationship r JOIN document d USING (doc_id) SEMI JOIN element a ON a.doc_id = r.doc_id AND a.spdx_id = r.from_id SEMI JOIN element b ON b.doc_id = r.doc_id AND b.spdx_id = r.to_id WHERE type IN ('CONTAINS', 'DEPENDS_ON') AND to_kind = 'local'"""))
+def cyclonedx_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir, export.cyclonedx)
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("relationships").alias("r")).where("r.type = 'DEPENDS_ON'").select("doc_name", "r.from_id", "r.to_id")
+
+
+def _repeated(ws: Workspace) -> DataFrame:
+    """Files in which every seventh part's package is written once more under its identifier."""
+    again = ws.element.where("pos % 7 = 0").withColumns({"pos": F.col("pos") + 1_000_000_000, "name": F.concat("name", F.lit(" again"))})
+    return export.spdx_json(ws.with_tables(element=ws.element.unionByName(again)))
+
+
+@query("dedupe_spdxid", _with(("pk", "element", "document"), "", _BACK))
+def dedupe_spdxid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(_parsed(spark, sf_dir, _repeated))
+
+
+@query("repeated_spdxids", _with(("pk", "element", "document"), "", "SELECT d.name AS doc_name, count(*) || ' elements repeat an identifier; the first of each is kept' AS message FROM element e JOIN document d USING (doc_id) WHERE pos % 7 = 0 GROUP BY d.name"))
+def repeated_spdxids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parsed(spark, sf_dir, _repeated)
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("diagnostics").alias("d")).where("d.code = 'DUP_SPDXID'").select("doc_name", "d.message")
+
+
+def _findings(spark: SparkSession, sf_dir: str, write: Callable[[Workspace], DataFrame]) -> DataFrame:
+    rows = _parsed(spark, sf_dir, write)
+    return rows.select(F.col("document.name").alias("doc_name"), F.explode("diagnostics").alias("d")).where("d.code like '%\\_SCHEMA\\_%'").select("doc_name", "d.code", "d.message")
+
+
+@query("lint_spdx2_messages", _with(("pk", "element", "document"), "", """SELECT d.name AS doc_name, 'SPDX2_SCHEMA_BAD_SPDXID' AS code, count(*) || ': ' || array_to_string(list(spdx_id ORDER BY pos)[1:3], ', ') || CASE WHEN count(*) > 3 THEN ', ...' ELSE '' END AS message FROM element e JOIN document d USING (doc_id) GROUP BY d.name"""))
+def lint_spdx2_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir, export.spdx_json).where("code like '%BAD_SPDXID'")
+
+
+def _damaged_spdx3(ws: Workspace) -> DataFrame:
+    """SPDX 3 files whose relationships all lose their type, and whose hashes are of an unknown algorithm."""
+    text = F.replace(F.replace(F.decode("content", "utf-8"), F.lit('"relationshipType"'), F.lit('"lost"')), F.lit('"algorithm":"sha'), F.lit('"algorithm":"sho'))
+    return export.spdx3(ws).withColumn("content", text.cast("binary"))
+
+
+@query("lint_spdx3", _with(("pk", "element", "relationship", "document"), "", """SELECT DISTINCT d.name AS doc_name, 'SPDX3_SCHEMA_BAD_HASH' AS code FROM element JOIN document d USING (doc_id) WHERE alg IS NOT NULL
+ UNION ALL SELECT DISTINCT d.name, 'SPDX3_SCHEMA_INCOMPLETE_RELATIONSHIP' FROM relationship JOIN document d USING (doc_id) WHERE to_kind = 'local'
+ UNION ALL SELECT DISTINCT d.name, 'SPDX3_SCHEMA_DANGLING_REF' FROM relationship r JOIN document d USING (doc_id) WHERE to_kind = 'local' AND NOT (EXISTS (SELECT 1 FROM element e WHERE e.doc_id = r.doc_id AND e.spdx_id = r.from_id) AND EXISTS (SELECT 1 FROM element e WHERE e.doc_id = r.doc_id AND e.spdx_id = r.to_id))"""))
+def lint_spdx3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir, _damaged_spdx3).drop("message")
+
+
+def _damaged_cyclonedx(ws: Workspace) -> DataFrame:
+    text = F.replace(F.replace(F.decode("content", "utf-8"), F.lit('"type":"library"'), F.lit('"type":"toy"')), F.lit('"pkg:'), F.lit('"pgk:'))
+    return export.cyclonedx(ws).withColumn("content", text.cast("binary"))
+
+
+@query("lint_cyclonedx", _with(("pk", "element", "document"), "", """SELECT d.name AS doc_name, 'CDX_SCHEMA_BAD_COMPONENT_TYPE' AS code FROM element JOIN document d USING (doc_id) GROUP BY d.name
+ UNION ALL SELECT d.name, 'CDX_SCHEMA_BAD_PURL' FROM element JOIN document d USING (doc_id) WHERE purl IS NOT NULL GROUP BY d.name"""))
+def lint_cyclonedx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir, _damaged_cyclonedx).drop("message")
+
+
+def _damaged_descriptor(ws: Workspace) -> DataFrame:
+    text = F.replace(F.replace(F.decode("content", "utf-8"), F.lit('"relation":"local"'), F.lit('"relation":"odd"')), F.lit('"normalisationAlgorithm":"genericBlobDigest/v1",'), F.lit(""))
+    return export.descriptor(ws).withColumn("content", text.cast("binary"))
+
+
+@query("lint_descriptor", _with(("pk", "element", "document"), "", """SELECT 'example.org/td/' || doc_id AS doc_name, 'OCM_SCHEMA_BAD_RELATION' AS code FROM element GROUP BY doc_id
+ UNION ALL SELECT 'example.org/td/' || doc_id, 'OCM_SCHEMA_DIGEST_INCOMPLETE' FROM element WHERE alg IS NOT NULL GROUP BY doc_id
+ UNION ALL SELECT DISTINCT 'example.org/td/' || doc_id, 'OCM_SCHEMA_DUPLICATE_IDENTITY' FROM (SELECT doc_id FROM element GROUP BY doc_id, name, version HAVING count(*) > 1)"""))
+def lint_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _findings(spark, sf_dir, _damaged_descriptor).drop("message")
+
+
+_STATED = "SELECT event_id AS ord, 'CVE-2024-' || event_id % 40 AS vulnerability, CASE event_type WHEN 'error' THEN 'affected' WHEN 'signup' THEN 'under_investigation' WHEN 'purchase' THEN 'fixed' ELSE 'not_affected' END AS status, 'pkg:generic/' || replace(p_brand, '#', '-') || '/' || replace(p_name, ' ', '-') || CASE WHEN event_id % 3 <> 0 THEN '@' || p_size ELSE '' END AS ref, CASE WHEN event_id % 19 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE 'no date' END AS stamp, event_id // 1000 AS f FROM events JOIN part ON user_id = p_partkey WHERE event_type <> 'click'"
+
+
+def _advisories(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Statements written as files of a thousand events each, and read back."""
+    rows = star.vex_candidates(spark, sf_dir).withColumn("vex_ord", F.floor(F.col("cand_ord") / 1000))
+    return statements.assembled(statements.scan(write(rows)))
+
+
+@query("vex_openvex_roundtrip", f"SELECT 'urn:vex:' || f AS document, vulnerability, status, ref, stamp AS timestamp, row_number() OVER (PARTITION BY f ORDER BY ord) - 1 AS place, dense_rank() OVER (ORDER BY f) - 1 AS vex_ord FROM ({_STATED})")
+def vex_openvex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _advisories(spark, sf_dir, export.openvex)
+    return rows.select("document", "vulnerability", "status", "ref", "timestamp", (F.col("cand_ord") % statements.DOCUMENT_SPAN).alias("place"), "vex_ord")
+
+
+@query("vex_csaf_roundtrip", f"SELECT 'advisory-' || f AS document, vulnerability, status, ref, '2024-01-01T00:00:00Z' AS timestamp, row_number() OVER (PARTITION BY f ORDER BY ord) - 1 AS place FROM ({_STATED})")
+def vex_csaf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _advisories(spark, sf_dir, export.csaf)
+    return rows.select("document", "vulnerability", "status", "ref", "timestamp", (F.col("cand_ord") % statements.DOCUMENT_SPAN).alias("place"))
+
+
 # Small rules
 
 
-@query("license_expr_errors")
+#: Expressions around a part's brand, and whether each is well formed.
+_EXPRESSIONS = [
+    ("{}", True), ("{} AND MIT", True), ("({} OR MIT) AND ISC", True), ("{} WITH x", True), ("DocumentRef-a:LicenseRef-{}", True), ("{}+", True), ("({}", False), ("{})", False), ("{} and MIT", False), ("{} MIT", False),
+    ("{} AND", False), ("NONE OR {}", False), ("LicenseRef-{}:a", False), ("{} WITH (x)", False), ("", False), ("NOASSERTION", True),
+]
+
+
+@query("license_expr_errors", "SELECT p_partkey, replace(e, '{}', replace(p_brand, '#', '-')) AS expression, good FROM part JOIN (VALUES " + ", ".join(f"({i}, '{e}', {good})" for i, (e, good) in enumerate(_EXPRESSIONS)) + f") v(i, e, good) ON p_partkey % {len(_EXPRESSIONS)} = i")
 def license_expr_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expressions made of part names; the grammar nests, so there is no SQL for it."""
-    p = table(spark, sf_dir, "part")
-    word = lambda i: F.regexp_replace(F.get(F.split("p_name", " "), F.lit(i)), "[^A-Za-z0-9.-]", "")
-    joined = F.concat_ws(" AND ", word(0), word(1))
-    expression = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("("), joined)).when(F.col("p_partkey") % 4 == 1, F.replace(joined, F.lit("AND"), F.lit("and"))).otherwise(joined)
-    return p.select("p_partkey", expression.alias("expression"), text.license_expression_error(expression).alias("error"))
+    """Whether each expression is well formed. The grammar nests, so the SQL has the answer for each form, not the rule."""
+    form = F.get(F.array(*(F.lit(e) for e, _ in _EXPRESSIONS)), (F.col("p_partkey") % len(_EXPRESSIONS)).cast("int"))
+    expression = F.replace(form, F.lit("{}"), F.replace("p_brand", F.lit("#"), F.lit("-")))
+    return table(spark, sf_dir, "part").select("p_partkey", expression.alias("expression"), text.license_expression_error(expression).isNull().alias("good"))
 
 
-@query("format_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n * 20 + 1024) // 2048 // 10 || '.' || (n * 20 + 1024) // 2048 % 10 || ' KB' ELSE (n * 20 + 1048576) // 2097152 // 10 || '.' || (n * 20 + 1048576) // 2097152 % 10 || ' MB' END AS shown FROM (SELECT doc_id, n_chars * n_chars // 7 * 1024 // 512 AS n FROM documents WHERE n_chars < 20000)")
+@query("format_bytes", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n * 20 + 1024) // 2048 // 10 || '.' || (n * 20 + 1024) // 2048 % 10 || ' KB' ELSE (n * 20 + 1048576) // 2097152 // 10 || '.' || (n * 20 + 1048576) // 2097152 % 10 || ' MB' END AS shown FROM (SELECT doc_id, n_chars * n_chars // 7 * 1024 // 512 AS n FROM documents)")
 def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("n_chars < 20000").selectExpr("doc_id", "n_chars * n_chars div 7 * 1024 div 512 AS n")
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "n_chars * n_chars div 7 * 1024 div 512 AS n")
     return rows.select("doc_id", text.format_bytes(F.col("n")).alias("shown"))
 
 
@@ -606,6 +861,91 @@ def relationship_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("from", "to", "out").unionByName(side("to", "from", "in"))
 
 
+@query("format_counts", r"SELECT doc_id, regexp_replace(reverse(regexp_replace(reverse((n_chars * doc_id)::VARCHAR), '(\d{3})', '\1,', 'g')), '^,', '') AS shown FROM documents")
+def format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.format_count(F.col("n_chars") * F.col("doc_id")).alias("shown"))
+
+
+@query("registry_versions", "SELECT p_brand AS component, array_to_string(list_sort(list(p_size || '.0+' || p_partkey)), ' ') AS versions FROM part GROUP BY p_brand")
+def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("component")).agg(F.collect_list(F.concat(F.col("p_size").cast("string"), F.lit(".0.build-"), F.col("p_partkey").cast("string"))).alias("tags"))
+    return tags.select("component", F.array_join(text.registry_versions(F.col("tags")), " ").alias("versions"))
+
+
+@query("element_ids", _with(("pk", "element", "document"), "", "SELECT namespace AS doc_id, spdx_id, namespace || '#' || spdx_id AS element_id FROM element JOIN document USING (doc_id) UNION ALL SELECT 'urn:bomweave:sha1:' || sha1, NULL, NULL FROM document"))
+def element_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element ids made and split again, and the ids of documents without a namespace."""
+    ws = _ws(spark, sf_dir)
+    rows = ws.element.select("doc_id", "spdx_id").join(ws.document.select("doc_id", "namespace", "sha1"), "doc_id")
+    made = rows.select(identity.element_id(identity.document_id(F.concat(F.lit(" "), "namespace"), F.col("sha1")), F.col("spdx_id")).alias("element_id"))
+    nameless = ws.document.select(identity.document_id(F.lit(" "), F.col("sha1")).alias("doc_id"), F.lit(None).cast("string").alias("spdx_id"), F.lit(None).cast("string").alias("element_id"))
+    return made.withColumn("x", identity.split_element_id(F.col("element_id"))).select("x.doc_id", "x.spdx_id", "element_id").unionByName(nameless)
+
+
+# Blobs
+
+
+_BLOB = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{\"id\": ' || doc_id || '}' WHEN 1 THEN '--- # ' || doc_id WHEN 2 THEN 'words ' || doc_id WHEN 3 THEN chr(1) || doc_id || ':' ELSE '[' || doc_id END AS t FROM documents"
+
+
+def _blob() -> F.Column:
+    own, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
+    return F.when(k == 0, F.concat(F.lit('{"id": '), own, F.lit("}"))).when(k == 1, F.concat(F.lit("--- # "), own)).when(k == 2, F.concat(F.lit("words "), own)).when(k == 3, F.concat(F.lit("\x01"), own, F.lit(":"))).otherwise(F.concat(F.lit("["), own))
+
+
+@query("blob_kinds", f"SELECT doc_id::VARCHAR AS path, CASE doc_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'yaml' WHEN 3 THEN 'yaml' ELSE 'text' END AS kind, octet_length(encode(t))::BIGINT AS size, t AS preview FROM ({_BLOB})")
+def blob_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), _blob().cast("binary").alias("content"))
+    return blobs.scan(rows).select("path", "kind", "size", "preview")
+
+
+@query("blob_verdicts", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'match' WHEN 1 THEN 'match' WHEN 2 THEN 'mismatch' WHEN 3 THEN CASE WHEN doc_id % 4 = 3 THEN 'match' ELSE 'unchecked' END WHEN 4 THEN 'unchecked' END AS verdict,
+ CASE doc_id % 6 WHEN 0 THEN 'match' WHEN 1 THEN CASE WHEN doc_id % 2 = 1 THEN 'unchecked' ELSE 'mismatch' END WHEN 2 THEN CASE WHEN doc_id % 4 = 0 THEN 'unchecked' ELSE 'mismatch' END WHEN 3 THEN 'unchecked' WHEN 4 THEN 'match' END AS indexed FROM documents""")
+def blob_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared digests of blobs, packed or not, by normalisation, and the same where only an index is known."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id") % 6
+    stored, unpacked, manifest = F.sha2(F.concat(F.lit("s"), "doc_id"), 256), F.sha2(F.concat(F.lit("u"), "doc_id"), 256), F.sha2(F.concat(F.lit("m"), "doc_id"), 256)
+    declared = F.when(k == 0, F.upper(stored)).when(k == 1, unpacked).when(k == 2, F.sha2(F.lit("other"), 256)).when(k == 3, manifest).when(k == 4, stored)
+    rule = F.when(k < 3, "genericBlobDigest/v1").when(k == 3, "ociArtifactDigest/v1").otherwise("odd/v1")
+    own = F.when(F.col("doc_id") % 4 == 3, manifest)
+    gzipped = F.when(k == 1, F.col("doc_id") % 2 == 1).when(k == 2, F.col("doc_id") % 4 == 0).otherwise(F.lit(False))
+    algorithm = F.when(k == 3, "SHA-512").otherwise("sha256")
+    return d.select("doc_id", acceptance.blob_verdict(rule, declared, stored, unpacked, own).alias("verdict"), acceptance.indexed_verdict(algorithm, declared, stored, gzipped).alias("indexed"))
+
+
+@query("verifiable_files", "SELECT doc_id % 13 = 0 AS odd, doc_id % 13 <> 0 AS verifiable FROM (VALUES (13), (1)) v(doc_id)")
+def verifiable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = star.file_elements(spark, sf_dir)
+    found = [(odd, acceptance.has_verifiable_files(every.where(f"pos % 13 {'=' if odd else '<>'} 0"))) for odd in (True, False)]
+    return spark.createDataFrame(found, "odd boolean, verifiable boolean")
+
+
+@query("common_folder", "SELECT 'texts' AS folder")
+def common_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = star.file_elements(spark, sf_dir).select(identity.normalized_path(F.col("name")).alias("path"))
+    return text.common_folder(rows)
+
+
+# Trees
+
+
+@query("tree_rows")
+def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that show when every root is open: what a user sees, made on the driver."""
+    forest = tree.Forest(_ws(spark, sf_dir))
+    rows = [(k, n.depth, n.kind, n.doc_id, n.name, n.edge) for k, n in enumerate(forest.visible([r.path for r in forest.roots]))]
+    return spark.createDataFrame(rows, "place int, depth int, kind string, doc_id string, name string, edge string")
+
+
+@query("reveal_paths")
+def reveal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the best 20 hits of a search and of their ancestors, in tree order; a filter shows so few."""
+    ws = _ws(spark, sf_dir)
+    hits = [(r.doc_id, r.spdx_id) for r in search.search(ws, "brand", limit=20).select("doc_id", "spdx_id").collect()]
+    paths, _, _ = tree.Forest(ws).filtered(hits)
+    return spark.createDataFrame([(k, len(p) - 1, "/".join(p)) for k, p in enumerate(paths)], "place int, depth int, path string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return version_conflicts(spark, sf_dir)
 

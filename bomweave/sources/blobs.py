@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from bomweave.sources import archives
 
@@ -55,6 +59,18 @@ def inspect(data: bytes) -> Blob:
     return Blob(what, len(data), source[:PREVIEW])
 
 
+def scan(files: DataFrame) -> DataFrame:
+    """path, kind, size, preview, files and more_files of each file (path, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("size", pa.int64()), ("preview", pa.string()), ("files", pa.list_(pa.string())), ("more_files", pa.int64())])
+        for batch in batches:
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_pylist([{"path": path.as_py(), **asdict(inspect(data.as_py()))}], schema)
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, size long, preview string, files array<string>, more_files long")
+
+
 def digests(data: bytes, manifest: bytes | None = None) -> dict[str, str | None]:
     """SHA-256 of a blob as stored, unpacked (if packed) and of its manifest, for acceptance.blob_verdict()."""
     unpacked = None

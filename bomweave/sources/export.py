@@ -1,14 +1,20 @@
-"""Documents of a workspace as files again: SPDX JSON, SPDX tag-value and CycloneDX, one row (path, content) each.
+"""Documents of a workspace as files again, one row (path, content) each: SPDX JSON, YAML and tag-value, SPDX 3, CycloneDX, component
+descriptors, archives of one document; and statements as OpenVEX and CSAF files.
 
 A document's parts are gathered by its id: as many rows in a group as the file has entries, which a file has to hold anyway.
 """
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bomweave.model import Workspace
+from bomweave.sources.archives import write_tar
 
 
 def _parts(df: DataFrame, value: Column, order: str, name: str) -> DataFrame:
@@ -77,3 +83,91 @@ def cyclonedx(ws: Workspace) -> DataFrame:
     main = F.struct(F.lit("application").alias("type"), F.lit("document").alias("bom-ref"), "name")
     root = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.6").alias("specVersion"), F.concat(F.lit("urn:uuid:"), uuid).alias("serialNumber"), F.lit(1).alias("version"), F.struct(F.col("created").alias("timestamp"), main.alias("component")).alias("metadata"), "components", "dependencies")
     return d.select("doc_id", F.concat("doc_id", F.lit(".cdx.json")).alias("path"), F.to_json(root).cast("binary").alias("content"))
+
+
+def spdx_yaml(ws: Workspace) -> DataFrame:
+    """The JSON form's top-level keys as YAML lines, whose values are JSON (which YAML includes)."""
+    rows = spdx_json(ws).select("doc_id", F.col("content").cast("string").alias("j"))
+    keys = F.json_object_keys("j")
+    lines = F.transform(keys, lambda k: F.concat(k, F.lit(": "), _yaml_value(F.element_at(F.from_json("j", "map<string,string>"), k))))
+    return rows.select("doc_id", F.concat("doc_id", F.lit(".spdx.yaml")).alias("path"), F.array_join(lines, "\n").cast("binary").alias("content"))
+
+
+def _yaml_value(value: Column) -> Column:
+    """Lists and objects as they are, texts as JSON texts."""
+    plain = F.to_json(F.array(value))
+    return F.when(value.rlike(r"^\s*[\[{]"), value).otherwise(F.regexp_extract(plain, r"^\[([\s\S]*)\]$", 1))
+
+
+def spdx3(ws: Workspace) -> DataFrame:
+    """SPDX 3 JSON-LD: one creation info, the document, an organization a supplier, packages and relationships."""
+    iri = lambda c: F.when(c == "SPDXRef-DOCUMENT", F.col("namespace")).otherwise(F.concat("namespace", F.lit("#"), c))
+    text = lambda v: F.lit(v)
+    spaces = ws.document.select("doc_id", "namespace")
+    sums = F.transform("checksums", lambda c: F.struct(F.lit("Hash").alias("type"), F.lower(c["algorithm"]).alias("algorithm"), c["value"].alias("hashValue")))
+    package = F.to_json(_struct(
+        type=text("software_Package"), spdxId=iri(F.col("spdx_id")), creationInfo=text("_:made"), name="name", software_packageVersion="version", software_packageUrl="purl", software_downloadLocation="download_location",
+        software_primaryPurpose="purpose", suppliedBy=F.concat(F.lit("urn:org:"), "supplier"), verifiedUsing=sums,
+    ))
+    tie = F.to_json(_struct(
+        type=text("Relationship"), spdxId=F.concat("namespace", F.lit("#rel-"), "rel_index"), creationInfo=text("_:made"), relationshipType=F.expr("concat(lower(substr(replace(initcap(replace(type, '_', ' ')), ' ', ''), 1, 1)), substr(replace(initcap(replace(type, '_', ' ')), ' ', ''), 2))"),
+        to=F.array(iri(F.col("to_id"))), **{"from": iri(F.col("from_id"))},
+    ))
+    packages = _parts(_packages(ws).join(spaces, "doc_id"), package, "pos", "p")
+    ties = _parts(ws.relationship.where("from_kind = 'local' and to_kind = 'local'").join(spaces, "doc_id"), tie, "rel_index", "r")
+    owners = _packages(ws).where("supplier not in ('NOASSERTION', 'NONE')").select("doc_id", "supplier").distinct()
+    owner = F.to_json(_struct(type=text("Organization"), spdxId=F.concat(F.lit("urn:org:"), "supplier"), creationInfo=text("_:made"), name="supplier"))
+    d = ws.document.join(packages, "doc_id", "left").join(ties, "doc_id", "left").join(_parts(owners, owner, "supplier", "o"), "doc_id", "left")
+    made = F.to_json(_struct(type=text("CreationInfo"), created="created", specVersion=text("3.0.1"), **{"@id": text("_:made")}))
+    roots = F.transform("describes", lambda x: F.concat("namespace", F.lit("#"), x))
+    head = F.to_json(_struct(type=text("SpdxDocument"), spdxId="namespace", creationInfo=text("_:made"), name="name", rootElement=roots))
+    none = F.array().cast("array<string>")
+    graph = F.array_join(F.concat(F.array(made, head), *(F.coalesce(c, none) for c in ("o", "p", "r"))), ",")
+    content = F.concat(F.lit('{"@context":"https://spdx.org/rdf/3.0.1/spdx-context.jsonld","@graph":['), graph, F.lit("]}"))
+    return d.select("doc_id", F.concat("doc_id", F.lit(".spdx3.json")).alias("path"), content.cast("binary").alias("content"))
+
+
+def descriptor(ws: Workspace) -> DataFrame:
+    """A component descriptor a document: its packages are resources, and resolved references to other documents component references."""
+    digest = F.when(F.size("checksums") > 0, F.struct(F.get("checksums", F.lit(0))["algorithm"].alias("hashAlgorithm"), F.lit("genericBlobDigest/v1").alias("normalisationAlgorithm"), F.get("checksums", F.lit(0))["value"].alias("value")))
+    image = F.struct(F.lit("ociArtifact").alias("type"), F.concat(F.lit("example.org/"), F.lower("spdx_id"), F.lit(":"), "version").alias("imageReference"))
+    resource = _struct(name="name", version="version", type=F.lit("ociImage"), relation=F.lit("local"), access=image, digest=digest)
+    ref = _struct(name="doc_ref", componentName=F.concat(F.lit("example.org/td/"), F.regexp_extract("uri", "([^:/]+)$", 1)), version=F.lit("1.0.0"))
+    d = ws.document.join(_parts(_packages(ws), resource, "pos", "resources"), "doc_id", "left").join(_parts(ws.ext_ref, ref, "pos", "componentReferences"), "doc_id", "left")
+    component = _struct(name=F.concat(F.lit("example.org/td/"), "doc_id"), version=F.lit("1.0.0"), provider="name", creationTime="created", resources="resources", componentReferences="componentReferences")
+    root = F.struct(F.struct(F.lit("v2").alias("schemaVersion")).alias("meta"), component.alias("component"))
+    return d.select("doc_id", F.concat("doc_id", F.lit(".cd.json")).alias("path"), F.to_json(root).cast("binary").alias("content"))
+
+
+def archived(files: DataFrame) -> DataFrame:
+    """Each file (path, content) as a gzipped tar that holds it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
+                packed = gzip.compress(write_tar({path.as_py(): data.as_py()}), mtime=0)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{path.as_py()}.tgz"]), pa.array([packed], pa.binary())], ["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
+def openvex(statements: DataFrame) -> DataFrame:
+    """A file a document id (column vex_ord) of statements (cand_ord, vulnerability, status, ref, timestamp)."""
+    statement = F.struct(F.struct(F.col("vulnerability").alias("name")).alias("vulnerability"), F.array(F.struct(F.col("ref").alias("@id"))).alias("products"), "status", "timestamp")
+    rows = statements.groupBy("vex_ord").agg(F.array_sort(F.collect_list(F.struct("cand_ord", statement.alias("s")))).alias("s"))
+    root = F.struct(F.lit("https://openvex.dev/ns/v0.2.0").alias("@context"), F.concat(F.lit("urn:vex:"), "vex_ord").alias("@id"), F.lit(1).alias("version"), F.transform("s", lambda x: x["s"]).alias("statements"))
+    return rows.select(F.format_string("%08d.vex.json", "vex_ord").alias("path"), F.to_json(root).cast("binary").alias("content"))
+
+
+def csaf(statements: DataFrame) -> DataFrame:
+    """The same as CSAF advisories: a product a statement, named by its order; all of one release date."""
+    buckets = {"affected": "known_affected", "not_affected": "known_not_affected", "fixed": "fixed", "under_investigation": "under_investigation"}
+    own = F.col("cand_ord").cast("string")
+    product = F.struct(own.alias("product_id"), F.col("ref").alias("name"), F.struct(F.col("ref").alias("purl")).alias("product_identification_helper"))
+    listed = F.struct(*(F.when(F.col("status") == s, F.array(own)).alias(b) for s, b in buckets.items()))
+    each = F.struct("cand_ord", product.alias("p"), F.struct(F.col("vulnerability").alias("cve"), listed.alias("product_status")).alias("v"))
+    rows = statements.groupBy("vex_ord").agg(F.array_sort(F.collect_list(F.struct("cand_ord", each.alias("e")))).alias("s"))
+    tracking = F.struct(F.concat(F.lit("advisory-"), "vex_ord").alias("id"), F.lit("1").alias("version"), F.lit("2024-01-01T00:00:00Z").alias("current_release_date"))
+    head = F.struct(F.lit("2.0").alias("csaf_version"), F.struct(F.lit("td").alias("name")).alias("publisher"), tracking.alias("tracking"))
+    root = F.struct(head.alias("document"), F.struct(F.transform("s", lambda x: x["e"]["p"]).alias("full_product_names")).alias("product_tree"), F.transform("s", lambda x: x["e"]["v"]).alias("vulnerabilities"))
+    return rows.select(F.format_string("%08d.csaf.json", "vex_ord").alias("path"), F.to_json(root).cast("binary").alias("content"))

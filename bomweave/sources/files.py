@@ -153,19 +153,26 @@ def read_rows(spark: SparkSession, path: str, pattern: str | None = None) -> Dat
     """scan() of all files below a path, written once so that every table of the workspace reads the same parse."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
-    return materialize(scan(files), "parsed")
+    return materialize(_told_apart(scan(files)), "parsed")
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """With a number of each row, to be written at once: equal files may lie in several folders."""
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def to_workspace(rows: DataFrame) -> Workspace:
     """The tables of parsed rows: documents in order of file name, equal ones (by bytes) once, ids that clash renamed."""
     spark = rows.sparkSession
-    from pyspark.sql import Window
-
-    good = rows.where("not failed").withColumn("k", F.row_number().over(Window.partitionBy("document.sha1").orderBy("document.file_name", "document.ord"))).where("k = 1")
-    order = F.struct("document.file_name", "document.ord", "document.sha1")
-    again = F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) > 1
-    named = good.withColumn("clash", again).withColumn("doc_id", F.when(F.col("clash"), F.concat("doc_id", F.lit("~dup-"), F.substring("document.sha1", 1, 8))).otherwise(F.col("doc_id")))
-    ranked = materialize(named.withColumn("rank", F.struct("document.file_name", "document.ord")), "documents")
+    # what comes first is found over names alone: whole documents are joined once, and never gathered by a frequent content or id
+    rows = rows if "row" in rows.columns else materialize(_told_apart(rows), "parsed")
+    names = rows.where("not failed").select("doc_id", F.col("document.sha1").alias("sha1"), F.struct("document.file_name", "document.ord", "row").alias("rank"))
+    once = names.groupBy("sha1").agg(F.min(F.struct("rank", "doc_id")).alias("x")).select("sha1", "x.*")
+    first = once.groupBy("doc_id").agg(F.min(F.struct("rank", "sha1")).alias("first"))
+    clash = once.join(first, "doc_id").withColumn("clash", F.struct("rank", "sha1") > F.col("first"))
+    named = materialize(clash.select("sha1", "rank", "clash", F.when(F.col("clash"), F.concat("doc_id", F.lit("~dup-"), F.substring("sha1", 1, 8))).otherwise(F.col("doc_id")).alias("name")), "names")
+    whole = rows.join(named.withColumn("row", F.col("rank.row")), "row")
+    ranked = materialize(whole.withColumn("doc_id", F.col("name")).drop("sha1", "name"), "documents")
     ords = ranked.select("doc_id", "rank").orderBy("rank").select("doc_id").withColumn("ord", F.monotonically_increasing_id())  # increases along the sort
     document = ranked.select("doc_id", "document.*").drop("ord").join(materialize(ords, "order"), "doc_id").select(*DOCUMENT.names)
     part = lambda column, schema: ranked.select("doc_id", F.explode(column).alias("x")).select("doc_id", "x.*").select(*schema.names)

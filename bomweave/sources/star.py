@@ -41,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(
         "doc_id", "ord", F.lit("spdx-2").alias("model"), F.lit("SPDX-2.3").alias("version"), F.lit("json").alias("serialization"), F.lit("SPDXRef-DOCUMENT").alias("spdx_id"), "name",
         namespace.alias("namespace"), F.when(F.col("ord") % 11 != 0, F.concat(F.lit("2024-0"), (F.col("ord") % 9 + 1).cast("string"), F.lit("-15T00:00:00Z"))).alias("created"), creators.alias("creators"),
-        _text().alias("comment"), F.when(F.col("ord") % 5 != 0, "CC0-1.0").alias("data_license"),
+        _text().alias("comment"), F.when(F.col("ord") % 5 == 0, None).when(F.col("ord") % 7 == 0, "MIT").otherwise("CC0-1.0").alias("data_license"),
         F.when(F.col("first").isNotNull(), F.array(F.concat(F.lit("P"), "first"))).otherwise(F.array().cast("array<string>")).alias("describes"), F.sha1(namespace).alias("sha1"), F.concat("doc_id", F.lit(".spdx.json")).alias("file_name"),
     )
 
@@ -93,7 +93,13 @@ def ext_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SHA1").alias("checksum_alg"), F.when(F.col("s_suppkey") % 7 == 3, F.sha1(F.concat(F.lit("bad"), "s_suppkey"))).otherwise(good).alias("checksum_value"),
     )
     scan = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("doc_id"), F.lit(1_000_000_000).cast("long").alias("pos"), F.concat(F.lit("DocumentRef-scan-"), "n_nationkey").alias("doc_ref"), F.concat(F.lit("https://example.org/scan/"), "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, ".json").otherwise(".pdf")).alias("uri"), none.alias("checksum_alg"), none.alias("checksum_value"))
-    return nation.unionByName(supplier).unionByName(scan)
+    named = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("doc_id"), (F.col("n_nationkey") + 2_000_000_000).cast("long").alias("pos"), _named_ref().alias("doc_ref"), F.concat(F.lit("https://example.org/names/"), "n_nationkey", F.lit(".rdf")).alias("uri"), none.alias("checksum_alg"), none.alias("checksum_value"))
+    return nation.unionByName(supplier).unionByName(scan).unionByName(named)
+
+
+def _named_ref() -> F.Column:
+    """A reference that nothing resolves, whose words are those of a nation's document."""
+    return F.concat(F.lit("DocumentRef-"), F.replace("n_name", F.lit(" "), F.lit("-")), F.lit("-2.0"))
 
 
 def bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +115,7 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
     upper = root(nation, F.concat(F.lit("r"), "n_regionkey"), F.concat(F.lit("DocumentRef-n"), "n_nationkey"), F.col("n_nationkey"))
     lower = root(supplier, F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("DocumentRef-s"), "s_suppkey"), F.col("s_suppkey"))
+    odd = nation.where("n_nationkey % 2 = 1").select(F.concat(F.lit("r"), "n_regionkey").alias("doc_id"), (F.col("n_nationkey") + 1000).cast("long").alias("rel_index"), F.lit("DEPENDS_ON").alias("type"), F.lit("local").alias("from_kind"), none.alias("from_ref"), F.lit("SPDXRef-DOCUMENT").alias("from_id"), F.lit("external").alias("to_kind"), _named_ref().alias("to_ref"), none.alias("to_id"))
     pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     key, parent = F.col("l_partkey"), F.floor(F.col("l_partkey") / 10).cast("long")
     child_id, parent_id = F.concat(F.lit("P"), key.cast("string")), F.concat(F.lit("P"), parent.cast("string"))
@@ -119,7 +126,7 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = pairs.select(doc, (key * 10).alias("rel_index"), kind.alias("type"), F.lit("local").alias("from_kind"), none.alias("from_ref"), first.alias("from_id"), F.lit("local").alias("to_kind"), none.alias("to_ref"), second.alias("to_id"))
     special = pairs.where("l_partkey % 50 = 0").select(doc, (key * 10 + 1).alias("rel_index"), F.lit("DEPENDS_ON").alias("type"), F.lit("local").alias("from_kind"), none.alias("from_ref"), child_id.alias("from_id"), F.lit("special").alias("to_kind"), none.alias("to_ref"), F.lit("NOASSERTION").alias("to_id"))
     unknown = pairs.where("l_partkey % 97 = 0").select(doc, (key * 10 + 2).alias("rel_index"), F.lit("DEPENDS_ON").alias("type"), F.lit("local").alias("from_kind"), none.alias("from_ref"), child_id.alias("from_id"), F.lit("external").alias("to_kind"), F.lit("DocumentRef-unknown").alias("to_ref"), F.lit("X").alias("to_id"))
-    every = upper.unionByName(lower).unionByName(inner).unionByName(special).unionByName(unknown)
+    every = upper.unionByName(lower).unionByName(odd).unionByName(inner).unionByName(special).unionByName(unknown)
     return every.select("doc_id", "rel_index", "type", *ends, none.alias("comment"))
 
 
@@ -144,7 +151,7 @@ def vex_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_VIEWS = {
     "pk": """SELECT l_suppkey AS s, l_partkey AS p, max(l_returnflag) AS flag FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
     "document": """SELECT *, 'urn:td:' || doc_id AS namespace, sha1('urn:td:' || doc_id) AS sha1, CASE WHEN ord % 11 <> 0 THEN '2024-0' || (ord % 9 + 1) || '-15T00:00:00Z' END AS created,
- CASE ord % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['Tool: gen-1'] ELSE ['Organization: ' || name, 'Tool: gen-1'] END AS creators, CASE WHEN ord % 5 <> 0 THEN 'CC0-1.0' END AS data_license FROM (
+ CASE ord % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['Tool: gen-1'] ELSE ['Organization: ' || name, 'Tool: gen-1'] END AS creators, CASE WHEN ord % 5 = 0 THEN NULL WHEN ord % 7 = 0 THEN 'MIT' ELSE 'CC0-1.0' END AS data_license FROM (
  SELECT 'r' || r_regionkey AS doc_id, r_regionkey::BIGINT AS ord, r_name AS name, NULL::VARCHAR AS root FROM region UNION ALL
  SELECT 'n' || n_nationkey, n_nationkey + 1000, n_name, NULL FROM nation UNION ALL
  SELECT 's' || s_suppkey, s_suppkey + 1000000, s_name, (SELECT 'P' || min(l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey AND s_suppkey % 2 = 1) FROM supplier)""",
@@ -156,9 +163,11 @@ SQL_VIEWS = {
  CASE WHEN p % 10 <> 0 THEN 'purl:pkg:generic/' || replace(p_brand, '#', '-') || '/' || replace(p_name, ' ', '-') ELSE 'name:' || lower(p_name) END AS key FROM pk JOIN part ON p = p_partkey JOIN supplier ON s = s_suppkey""",
     "ext_ref": """SELECT 'r' || n_regionkey AS doc_id, n_nationkey::BIGINT AS pos, 'DocumentRef-n' || n_nationkey AS doc_ref, 'urn:td:n' || n_nationkey AS uri, NULL::VARCHAR AS sum FROM nation UNION ALL
  SELECT 'n' || s_nationkey, s_suppkey, 'DocumentRef-s' || s_suppkey, 'https://example.org/s' || s_suppkey || '.spdx.json', CASE WHEN s_suppkey % 7 = 3 THEN sha1('bad' || s_suppkey) ELSE sha1('urn:td:s' || s_suppkey) END FROM supplier UNION ALL
- SELECT 'n' || n_nationkey, 1000000000, 'DocumentRef-scan-' || n_nationkey, 'https://example.org/scan/' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.json' ELSE '.pdf' END, NULL FROM nation""",
+ SELECT 'n' || n_nationkey, 1000000000, 'DocumentRef-scan-' || n_nationkey, 'https://example.org/scan/' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.json' ELSE '.pdf' END, NULL FROM nation UNION ALL
+ SELECT 'r' || n_regionkey, 2000000000 + n_nationkey, 'DocumentRef-' || replace(n_name, ' ', '-') || '-2.0', 'https://example.org/names/' || n_nationkey || '.rdf', NULL FROM nation""",
     "relationship": """SELECT 'r' || n_regionkey AS doc_id, n_nationkey::BIGINT AS rel_index, 'DESCRIBES' AS type, 'local' AS from_kind, 'SPDXRef-DOCUMENT' AS from_id, 'external' AS to_kind, 'DocumentRef-n' || n_nationkey AS to_ref, NULL::VARCHAR AS to_id FROM nation UNION ALL
  SELECT 'n' || s_nationkey, s_suppkey, 'DESCRIBES', 'local', 'SPDXRef-DOCUMENT', 'external', 'DocumentRef-s' || s_suppkey, NULL FROM supplier UNION ALL
+ SELECT 'r' || n_regionkey, 1000 + n_nationkey, 'DEPENDS_ON', 'local', 'SPDXRef-DOCUMENT', 'external', 'DocumentRef-' || replace(n_name, ' ', '-') || '-2.0', NULL FROM nation WHERE n_nationkey % 2 = 1 UNION ALL
  SELECT 's' || s, p * 10, CASE p % 4 WHEN 0 THEN 'CONTAINS' WHEN 1 THEN 'DEPENDENCY_OF' WHEN 2 THEN 'DEPENDS_ON' ELSE 'CONTAINED_BY' END, 'local', 'P' || CASE WHEN p % 2 = 0 THEN p // 10 ELSE p END, 'local', NULL, 'P' || CASE WHEN p % 2 = 0 THEN p ELSE p // 10 END FROM pk UNION ALL
  SELECT 's' || s, p * 10 + 1, 'DEPENDS_ON', 'local', 'P' || p, 'special', NULL, 'NOASSERTION' FROM pk WHERE p % 50 = 0 UNION ALL
  SELECT 's' || s, p * 10 + 2, 'DEPENDS_ON', 'local', 'P' || p, 'external', 'DocumentRef-unknown', 'X' FROM pk WHERE p % 97 = 0""",

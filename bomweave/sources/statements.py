@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from bomweave.operators.order import numbered
 from bomweave.operators.profile import sniff
 from bomweave.sources import archives
 from bomweave.sources.advisories import is_csaf, is_openvex, parse_csaf, parse_openvex
@@ -46,6 +47,12 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
 
     Documents are ordered by path; one that has the id of an earlier one replaces it.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return assembled(scan(files))
+
+
+def scan(files: DataFrame) -> DataFrame:
+    """Rows (ROW) of the advisories among files (path, content), each read in the task that has it."""
     schema = to_arrow_schema(ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,11 +62,13 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
                 if own:
                     yield pa.RecordBatch.from_pylist(own, schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    rows = materialize(files.mapInArrow(run, ROW), "statements")
+    return files.select("path", "content").mapInArrow(run, ROW)
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """What read_statements() gives, from rows of scan()."""
+    rows = materialize(rows, "statements")
     last = rows.groupBy("id").agg(F.max("path").alias("path"))
-    docs = materialize(last.orderBy("path").withColumn("vex_ord", F.monotonically_increasing_id()), "advisories")  # increases along the sort
-    order = Window.orderBy("vex_ord")
-    ranked = docs.withColumn("vex_ord", F.row_number().over(order).cast("long") - 1)  # one row a document
+    ranked = numbered(last, "path", name="vex_ord")
     kept = rows.join(ranked, ["id", "path"]).where("ref is not null")
     return kept.select("vex_ord", (F.col("vex_ord") * DOCUMENT_SPAN + F.col("place")).alias("cand_ord"), F.col("id").alias("document"), "vulnerability", "status", "justification", "ref", "via_subcomponent", F.col("stated").alias("timestamp"))

@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).parent.parent
 
 
@@ -16,13 +18,29 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_imports_without_the_training_data_operators(tmp_path):
-    for name in ("__spark_entry__.py", "bomweave"):
-        (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else None
+def imported(folder, code):
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=folder, check=True, env={"PYTHONPATH": str(folder), "PATH": "/usr/bin:/bin"})
+
+
+NONE = "import __spark_entry__ as e; assert len(e.queries()) > 90 and e.oracle_sql(); assert not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
+
+
+@pytest.mark.parametrize("beside", [[], ["corpus_pipeline.py"]])
+def test_imports_without_the_training_data_operators(tmp_path, beside):
+    for name in ["__spark_entry__.py", *beside]:
+        if (ROOT / name).exists():
+            (tmp_path / name).symlink_to(ROOT / name)
     package = tmp_path / "bomweave"
     package.mkdir()
     for part in (ROOT / "bomweave").iterdir():
         if part.name not in ("llm", "__pycache__"):
             (package / part.name).symlink_to(part)
-    code = "import __spark_entry__ as e; assert e.queries() and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+    imported(tmp_path, NONE)
+
+
+def test_imports_where_a_library_of_theirs_is_missing(tmp_path):
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "bomweave"):
+        if (ROOT / name).exists():
+            (tmp_path / name).symlink_to(ROOT / name)
+    (tmp_path / "tokenizers.py").write_text("raise ModuleNotFoundError('no module', name='tokenizers')")
+    imported(tmp_path, NONE)

@@ -62,8 +62,8 @@ def test_three_forms_of_one_document():
 
 
 def test_spdx_fallbacks_and_repeated_ids():
-    p = parse({**JSON, "documentDescribes": [], "packages": [{"name": "n", "externalRefs": [{"referenceCategory": "PACKAGE-MANAGER", "referenceType": "purl", "referenceLocator": "pkg:apk/alpine/n@3.4.3-r2?arch=x#sub"}]}] + JSON["packages"][1:] * 2, "relationships": [], "files": [{"fileName": "./a", "SPDXID": "SPDXRef-lib"}]})
-    assert p.elements[0]["version"] == "3.4.3-r2" and p.elements[0]["spdx_id"].endswith("anonymous-1")
+    p = parse({**JSON, "documentDescribes": [], "packages": [{"name": "n", "externalRefs": [{"referenceCategory": "PACKAGE-MANAGER", "referenceType": "purl", "referenceLocator": "pkg:deb/yard/n@7:0.12~b4?arch=x#sub"}]}] + JSON["packages"][1:] * 2, "relationships": [], "files": [{"fileName": "./a", "SPDXID": "SPDXRef-lib"}]})
+    assert p.elements[0]["version"] == "7:0.12~b4" and p.elements[0]["spdx_id"].endswith("anonymous-1")
     assert len(p.elements) == 2 and next(d for d in p.diagnostics if d["code"] == "DUP_SPDXID")["message"].startswith("2 ")
     assert "JSON_MISSING_SPDXID" in codes(p) and p.document["describes"] == []
 

@@ -15,7 +15,7 @@ from bomweave.streaming import ingest
 
 
 def package(name, version, **more):
-    return {"SPDXID": f"SPDXRef-{name}", "name": name, "versionInfo": version, "downloadLocation": "NOASSERTION", "licenseConcluded": "MIT", "externalRefs": [{"referenceCategory": "PACKAGE-MANAGER", "referenceType": "purl", "referenceLocator": f"pkg:apk/alpine/{name}@{version}"}], **more}
+    return {"SPDXID": f"SPDXRef-{name}", "name": name, "versionInfo": version, "downloadLocation": "NOASSERTION", "licenseConcluded": "MIT", "externalRefs": [{"referenceCategory": "PACKAGE-MANAGER", "referenceType": "purl", "referenceLocator": f"pkg:generic/yard/{name}@{version}"}], **more}
 
 
 def relation(a, kind, b):
@@ -31,15 +31,15 @@ def sbom(name, packages, relations, refs=(), describes=()):
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
-    """root leads to mid by checksum, mid to leaf by namespace; mid's reference to auth has a wrong checksum."""
+    """root leads to mid by checksum, mid to leaf by namespace; mid's reference to the desk has a wrong checksum."""
     out = tmp_path_factory.mktemp("cascade")
-    leaf = sbom("runtime-image", [package("openssl", "3.0.9"), package("zlib", "1.3")], [relation("SPDXRef-openssl", "DEPENDS_ON", "SPDXRef-zlib")])
-    mid = sbom("webstack", [package("app", "1.0"), package("openssl", "3.3.2")], [relation("SPDXRef-app", "CONTAINS", "SPDXRef-openssl"), relation("SPDXRef-app", "DEPENDS_ON", "DocumentRef-RUNTIME:SPDXRef-DOCUMENT"), relation("SPDXRef-app", "DEPENDS_ON", "DocumentRef-AUTH-2.0:SPDXRef-x")],
-               [("DocumentRef-RUNTIME", "https://example.org/runtime-image", None), ("DocumentRef-AUTH-2.0", "https://example.org/elsewhere.spdx.json", "0" * 40), ("DocumentRef-SCAN", "https://example.org/scan.pdf", None)], ["SPDXRef-app"])
+    leaf = sbom("keel-base", [package("ropelib", "12.4"), package("tarlib", "0.7"), package("cleat", "2.2")], [relation("SPDXRef-ropelib", "DEPENDS_ON", "SPDXRef-tarlib"), relation("SPDXRef-tarlib", "CONTAINS", "SPDXRef-cleat")])
+    mid = sbom("loom-suite", [package("weaver", "1.0"), package("ropelib", "13.1")], [relation("SPDXRef-weaver", "CONTAINS", "SPDXRef-ropelib"), relation("SPDXRef-weaver", "DEPENDS_ON", "DocumentRef-keel:SPDXRef-DOCUMENT"), relation("SPDXRef-weaver", "DEPENDS_ON", "DocumentRef-lantern-7.4:SPDXRef-x")],
+               [("DocumentRef-keel", "https://example.org/keel-base", None), ("DocumentRef-lantern-7.4", "https://example.org/elsewhere.spdx.json", "0" * 40), ("DocumentRef-survey", "https://example.org/survey.pdf", None)], ["SPDXRef-weaver"])
     text = json.dumps(mid)
-    root = sbom("release", [package("release", "9")], [relation("SPDXRef-release", "CONTAINS", "DocumentRef-WEBSTACK:SPDXRef-DOCUMENT")], [("DocumentRef-WEBSTACK", "https://example.org/drifted", hashlib.sha1(text.encode()).hexdigest())], ["SPDXRef-release"])
-    auth = sbom("acme-auth-service", [package("auth-service", "2.0")], [])
-    for name, value in (("a-auth.spdx.json", json.dumps(auth)), ("b-root.spdx.json", json.dumps(root)), ("c-mid.spdx.json", text), ("d-leaf.spdx.json", json.dumps(leaf)), ("e-copy.spdx.json", text), ("notes.txt", "hello")):
+    root = sbom("harbor", [package("harbor", "31")], [relation("SPDXRef-harbor", "CONTAINS", "DocumentRef-loom:SPDXRef-DOCUMENT")], [("DocumentRef-loom", "https://example.org/moved", hashlib.sha1(text.encode()).hexdigest())], ["SPDXRef-harbor"])
+    desk = sbom("lantern-desk", [package("lantern", "7.4")], [])
+    for name, value in (("a-desk.spdx.json", json.dumps(desk)), ("b-root.spdx.json", json.dumps(root)), ("c-mid.spdx.json", text), ("d-leaf.spdx.json", json.dumps(leaf)), ("e-copy.spdx.json", text), ("notes.txt", "hello")):
         (out / name).write_text(value)
     return str(out)
 
@@ -58,58 +58,58 @@ ID = "https://example.org/{}".format
 
 
 def test_intake(ws, rows):
-    assert [r.name for r in ws.document.orderBy("ord").collect()] == ["acme-auth-service", "release", "webstack", "runtime-image"]
+    assert [r.name for r in ws.document.orderBy("ord").collect()] == ["lantern-desk", "harbor", "loom-suite", "keel-base"]
     assert [tuple(r) for r in files.failures(rows).select("file_name", "code").collect()] == [("notes.txt", "UNRECOGNIZED_FORMAT")]
 
 
 def test_resolution(ws):
     resolved = {r.doc_ref: r for r in resolve.resolutions(ws).collect()}
-    assert (resolved["DocumentRef-WEBSTACK"].method, resolved["DocumentRef-RUNTIME"].method) == ("checksum", "namespace")
-    auth, scan = resolved["DocumentRef-AUTH-2.0"], resolved["DocumentRef-SCAN"]
-    assert (auth.status, auth.structural, scan.structural) == ("unresolved", True, False)
-    assert [tuple(r) for r in resolve.suggestions(ws, resolve.resolutions(ws)).collect()] == [(ID("webstack"), "DocumentRef-AUTH-2.0", ID("acme-auth-service"), "looks like acme-auth-service")]
-    bound = workspace.bind(ws, ID("webstack"), "DocumentRef-AUTH-2.0", ID("acme-auth-service"))
+    assert (resolved["DocumentRef-loom"].method, resolved["DocumentRef-keel"].method) == ("checksum", "namespace")
+    desk, survey = resolved["DocumentRef-lantern-7.4"], resolved["DocumentRef-survey"]
+    assert (desk.status, desk.structural, survey.structural) == ("unresolved", True, False)
+    assert [tuple(r) for r in resolve.suggestions(ws, resolve.resolutions(ws)).collect()] == [(ID("loom-suite"), "DocumentRef-lantern-7.4", ID("lantern-desk"), "looks like lantern-desk")]
+    bound = workspace.bind(ws, ID("loom-suite"), "DocumentRef-lantern-7.4", ID("lantern-desk"))
     assert resolve.resolutions(bound).where("method = 'manual'").count() == 1
-    assert resolve.resolutions(workspace.bind(bound, ID("webstack"), "DocumentRef-AUTH-2.0", None)).where("method = 'manual'").count() == 0
+    assert resolve.resolutions(workspace.bind(bound, ID("loom-suite"), "DocumentRef-lantern-7.4", None)).where("method = 'manual'").count() == 0
 
 
 def test_document_graph(ws):
     resolved, edges = graph.graph_of(ws)
-    assert {(r.doc_id, r.level, r.is_root) for r in graph.levels(ws, edges).collect()} == {(ID("acme-auth-service"), 0, True), (ID("release"), 0, True), (ID("webstack"), 1, False), (ID("runtime-image"), 2, False)}
+    assert {(r.doc_id, r.level, r.is_root) for r in graph.levels(ws, edges).collect()} == {(ID("lantern-desk"), 0, True), (ID("harbor"), 0, True), (ID("loom-suite"), 1, False), (ID("keel-base"), 2, False)}
     lanes = {r.key: (r.level, r.lane) for r in graph.lanes(ws, resolved).collect()}
     assert len(lanes) == 5 and sorted(lane for level, lane in lanes.values() if level == 2) == [0, 1]
     assert [r.url for r in graph.fetch_candidates(ws, resolved).collect()] == ["https://example.org/elsewhere.spdx.json"]
-    assert graph.reachable(ws.document.where("name = 'release'"), edges).count() == 3
-    plan = {(r.doc_id, r.kind) for r in graph.removal_plan(ws, edges, ws.document.where("name = 'webstack'")).collect()}
-    assert plan == {(ID("webstack"), "requested"), (ID("runtime-image"), "orphaned")}
+    assert graph.reachable(ws.document.where("name = 'harbor'"), edges).count() == 3
+    plan = {(r.doc_id, r.kind) for r in graph.removal_plan(ws, edges, ws.document.where("name = 'loom-suite'")).collect()}
+    assert plan == {(ID("loom-suite"), "requested"), (ID("keel-base"), "orphaned")}
 
 
 def test_inventory_and_conflicts(ws):
     rows = search.inventory(ws)
-    assert [r.name for r in search.sort_inventory(rows, "name").collect()] == ["app", "auth-service", "openssl", "openssl", "release", "zlib"]
-    hits = search.search(ws, "OPENSSL 3.0").collect()
-    assert [(r.version, r.total) for r in hits] == [("3.0.9", 1)]
-    assert [r.name for r in search.search(ws, "opnl").collect()] == ["openssl", "openssl"]
+    assert [r.name for r in search.sort_inventory(rows, "name").collect()] == ["cleat", "harbor", "lantern", "ropelib", "ropelib", "tarlib", "weaver"]
+    hits = search.search(ws, "ROPELIB 12").collect()
+    assert [(r.version, r.total) for r in hits] == [("12.4", 1)]
+    assert [r.name for r in search.search(ws, "rplb").collect()] == ["ropelib", "ropelib"]
     group = conflicts.version_conflicts(ws).collect()
-    assert [(r.key, r.versions, r.total) for r in group] == [("purl:pkg:apk/alpine/openssl", ["3.0.9", "3.3.2"], 2)]
+    assert [(r.key, r.versions, r.total) for r in group] == [("purl:pkg:generic/yard/ropelib", ["12.4", "13.1"], 2)]
     csv = search.to_csv(rows.orderBy("ord", "pos"))
-    assert csv.startswith("name,version,license") and csv.endswith("\r\n") and len(json.loads(search.to_json(rows))) == 6
+    assert csv.startswith("name,version,license") and csv.endswith("\r\n") and len(json.loads(search.to_json(rows))) == 7
 
 
 def test_diff(ws):
     side = lambda name: conflicts.cascade_side(ws, ws.document.where(F.col("name") == name))
-    found = conflicts.diff(side("webstack"), side("runtime-image"))
-    assert {(r.name, r.change) for r in found.collect()} == {("app", "removed"), ("zlib", "added"), ("openssl", "changed")}
-    assert "openssl 3.3.2 → 3.0.9" in conflicts.diff_markdown(found, "webstack", "runtime-image")
+    found = conflicts.diff(side("loom-suite"), side("keel-base"))
+    assert {(r.name, r.change) for r in found.collect()} == {("weaver", "removed"), ("tarlib", "added"), ("cleat", "added"), ("ropelib", "changed")}
+    assert "ropelib 13.1 → 12.4" in conflicts.diff_markdown(found, "loom-suite", "keel-base")
 
 
 def test_quality_and_profile(ws):
     resolved = resolve.resolutions(ws)
     report = {r.doc_id: r for r in quality.report(ws, resolved).collect()}
-    assert (report[ID("webstack")].unresolved_structural_refs, report[ID("webstack")].dangling_local_refs, report[ID("webstack")].with_version) == (1, 0, 2)
+    assert (report[ID("loom-suite")].unresolved_structural_refs, report[ID("loom-suite")].dangling_local_refs, report[ID("loom-suite")].with_version) == (1, 0, 2)
     results = profile.evaluate(ws, profile.NTIA)
-    assert "| Packages with version | 2/2 | 100 % |" in profile.markdown(results, profile.NTIA, ID("webstack"), "webstack")
-    assert quality.workspace_stats(ws, resolved).first().packages == 6
+    assert "| Packages with version | 2/2 | 100 % |" in profile.markdown(results, profile.NTIA, ID("loom-suite"), "loom-suite")
+    assert quality.workspace_stats(ws, resolved).first().packages == 7
 
 
 def test_tree(ws):
@@ -118,14 +118,14 @@ def test_tree(ws):
     everything, capped = forest.subtree_paths(release)
     assert not capped and forest.subtree_paths(release, 1)[1]
     names = [(n.kind, n.name) for n in forest.visible(everything)]
-    assert ("element", "SPDXRef-openssl") in names and ("placeholder", "DocumentRef-AUTH-2.0") in names and ("placeholder", "DocumentRef-SCAN") in names
-    path = forest.reveal(ID("runtime-image"), "SPDXRef-zlib")
-    assert path and path[0] == f"d:{ID('release')}" and path[-1] == f"e:{ID('runtime-image')}#SPDXRef-zlib" and len(path) == 5
-    paths, shown, total = forest.filtered([(ID("runtime-image"), "SPDXRef-zlib"), ("none", "x")])
+    assert ("element", "SPDXRef-ropelib") in names and ("placeholder", "DocumentRef-lantern-7.4") in names and ("placeholder", "DocumentRef-survey") in names
+    path = forest.reveal(ID("keel-base"), "SPDXRef-tarlib")
+    assert path and path[0] == f"d:{ID('harbor')}" and path[-1] == f"e:{ID('keel-base')}#SPDXRef-tarlib" and len(path) == 5
+    paths, shown, total = forest.filtered([(ID("keel-base"), "SPDXRef-tarlib"), ("none", "x")])
     assert (shown, total) == (1, 2) and path in paths
-    assert tree.pruned(everything, {ID("webstack")}) != everything
-    start = ws.document.where("name = 'release'").select("doc_id", F.lit("SPDXRef-release").alias("spdx_id"))
-    assert graph.subtree(start, graph.child_edges(ws, resolve.resolutions(ws))).count() == 5
+    assert tree.pruned(everything, {ID("loom-suite")}) != everything
+    start = ws.document.where("name = 'harbor'").select("doc_id", F.lit("SPDXRef-harbor").alias("spdx_id"))
+    assert graph.subtree(start, graph.child_edges(ws, resolve.resolutions(ws))).count() == 6
 
 
 def test_cycle(spark):
@@ -138,15 +138,15 @@ def test_cycle(spark):
 
 
 def test_statements(ws, spark):
-    rows = [(0, "CVE-1", "affected", "pkg:APK/Alpine/openssl@3.0.9", "2024-01-01T00:00:00Z"), (1, "CVE-1", "fixed", "pkg:apk/alpine/openssl", "2023-01-01T00:00:00Z"), (2, "CVE-1", "not_affected", "pkg:apk/alpine/openssl", "never"), (3, "CVE-2", "fixed", "pkg:apk/alpine/zlib@9", None)]
+    rows = [(0, "CVE-1", "affected", "pkg:Generic/Yard/ropelib@12.4", "2024-01-01T00:00:00Z"), (1, "CVE-1", "fixed", "pkg:generic/yard/ropelib", "2023-01-01T00:00:00Z"), (2, "CVE-1", "not_affected", "pkg:generic/yard/ropelib", "never"), (3, "CVE-2", "fixed", "pkg:generic/yard/tarlib@9", None)]
     found = vex.findings(ws, spark.createDataFrame(rows, "cand_ord long, vulnerability string, status string, ref string, timestamp string"))
-    assert {(r.spdx_id, r.status, r.superseded) for r in found.collect()} == {("SPDXRef-openssl", "affected", 2), ("SPDXRef-openssl", "fixed", 1)}
+    assert {(r.spdx_id, r.status, r.superseded) for r in found.collect()} == {("SPDXRef-ropelib", "affected", 2), ("SPDXRef-ropelib", "fixed", 1)}
     cover = vex.coverage(ws, found).first()
-    assert (cover.total, cover.covered, cover.uncovered, cover.unmatchable) == (6, 2, 4, 0)
+    assert (cover.total, cover.covered, cover.uncovered, cover.unmatchable) == (7, 2, 5, 0)
 
 
 def test_removal_and_second_batch(ws):
-    less = workspace.remove_documents(ws, ws.document.where("name = 'runtime-image'"))
+    less = workspace.remove_documents(ws, ws.document.where("name = 'keel-base'"))
     assert less.document.count() == 3 and resolve.resolutions(less).where("status = 'resolved'").count() == 1
     again = workspace.add_documents(less, ws)
     assert again.document.count() == 4 and again.element.count() == ws.element.count()
@@ -194,10 +194,10 @@ def test_small_expressions(spark):
 def test_statements_from_files(spark, ws, tmp_path):
     from bomweave.sources.statements import read_statements, route
 
-    vexed = lambda status, at, own="v1": json.dumps({"@context": "https://openvex.dev/ns/v0.2.0", "@id": own, "timestamp": at, "statements": [{"vulnerability": {"name": "CVE-7"}, "products": [{"@id": "pkg:apk/alpine/openssl"}], "status": status}]})
-    csaf = {"document": {"csaf_version": "2.0", "tracking": {"id": "A", "current_release_date": "2025-01-01T00:00:00Z"}}, "product_tree": {"full_product_names": [{"product_id": "p", "product_identification_helper": {"purl": "pkg:apk/alpine/openssl@3.0.9"}}]}, "vulnerabilities": [{"cve": "CVE-7", "product_status": {"known_affected": ["p"]}}]}
+    vexed = lambda status, at, own="v1": json.dumps({"@context": "https://openvex.dev/ns/v0.2.0", "@id": own, "timestamp": at, "statements": [{"vulnerability": {"name": "CVE-7"}, "products": [{"@id": "pkg:generic/yard/ropelib"}], "status": status}]})
+    csaf = {"document": {"csaf_version": "2.0", "tracking": {"id": "A", "current_release_date": "2025-01-01T00:00:00Z"}}, "product_tree": {"full_product_names": [{"product_id": "p", "product_identification_helper": {"purl": "pkg:generic/yard/ropelib@12.4"}}]}, "vulnerabilities": [{"cve": "CVE-7", "product_status": {"known_affected": ["p"]}}]}
     for name, value in (("1.json", vexed("affected", "2020-01-01T00:00:00Z")), ("2.json", vexed("fixed", "2024-01-01T00:00:00Z")), ("3.json", json.dumps(csaf)), ("4.txt", "other")):
         (tmp_path / name).write_text(value)
     found = vex.findings(ws, read_statements(spark, str(tmp_path)))
-    assert {(r.doc_id, r.status, r.superseded) for r in found.collect()} == {(ID("runtime-image"), "affected", 1), (ID("webstack"), "fixed", 0)}
+    assert {(r.doc_id, r.status, r.superseded) for r in found.collect()} == {(ID("keel-base"), "affected", 1), (ID("loom-suite"), "fixed", 0)}
     assert [route(x.encode()) for x in (vexed("fixed", "x"), json.dumps(csaf), "words", json.dumps({"schema": "a-profile/v1"}))] == ["openvex", "csaf", "document", "profile"]
