@@ -10,6 +10,7 @@ import re
 #: DER prefixes of a digest in a PKCS #1 v1.5 signature, and object ids of RSA keys.
 DIGEST_INFO = {"sha256": bytes.fromhex("3031300d060960864801650304020105000420"), "sha512": bytes.fromhex("3051300d060960864801650304020305000440")}
 RSA_OIDS = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+#: Pinned keys, at most, and bytes of them (and of one key).
 MAX_KEYS, MAX_KEY_BYTES = 16, 64 << 10
 
 
@@ -179,3 +180,31 @@ def verify(component: dict, signature: dict, pem: str) -> dict[str, object]:
     match = computed == recorded
     good = check(key, recorded, raw, name)
     return {"state": "valid" if good and match else "invalid", "digest_match": match, "reason": None if good and match else "the signature is not of this digest" if not good else "the descriptor is not the one that was signed"}
+
+
+def pin(keys: dict[str, str], label: str, pem: str) -> dict[str, str]:
+    """The trusted keys (PEM by label) with one more; a label that is there already gets the new key, in the last place."""
+    name = label.strip()
+    if not name:
+        raise BadInput("a key needs a label")
+    rsa_key(pem)
+    out = {k: v for k, v in keys.items() if k != name} | {name: pem}
+    if len(out) > MAX_KEYS:
+        raise BadInput(f"at most {MAX_KEYS} keys")
+    if len(json.dumps([{"label": k, "pem": v} for k, v in out.items()], separators=(",", ":"), ensure_ascii=False)) > MAX_KEY_BYTES:
+        raise BadInput("the keys are too large")
+    return out
+
+
+def unpin(keys: dict[str, str], label: str) -> dict[str, str]:
+    return {k: v for k, v in keys.items() if k != label}
+
+
+def verify_pinned(component: dict, signature: dict, keys: dict[str, str]) -> dict[str, object]:
+    """verify() by the first pinned key under which the signature is valid, with its label; else what the last one gave."""
+    out: dict[str, object] = {"state": "unverifiable", "digest_match": None, "reason": "no key is pinned"}
+    for label, pem in keys.items():
+        out = verify(component, signature, pem)
+        if out["state"] == "valid":
+            return out | {"label": label}
+    return out | {"label": None}

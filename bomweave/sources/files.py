@@ -13,11 +13,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from bomweave.model import BINDING, DIAGNOSTIC, DOCUMENT, ELEMENT, EXT_REF, RELATIONSHIP, Workspace
+from bomweave.operators.profile import sniff as is_profile
 from bomweave.sources import archives, cyclonedx, descriptor, spdx2, spdx3
 from bomweave.sources.advisories import is_csaf, is_openvex
 from bomweave.sources.record import Parsed, record, text, texts
 from bomweave.storage import materialize
 
+#: How the names of documents and deliveries end.
 EXTENSIONS = "*.{spdx,json,yaml,yml,rdf,tar,tgz,gz,ctf}"
 
 
@@ -99,7 +101,7 @@ def _safely(source: bytes, name: str, blobs: dict[str, str] | None = None) -> Pa
 
 
 def parse_file(name: str, data: bytes) -> Iterator[dict]:
-    """The rows (ROW, without an order) of one file: several for a delivery, none for an advisory."""
+    """The rows (ROW, without an order) of one file: several for a delivery, none for an advisory or a profile."""
     kind = archives.sniff(data)
     row = lambda p, n, b: p.row(n, archives.sha1_hex(b), len(b), 0)
     if kind in ("zip", "binary"):
@@ -107,7 +109,7 @@ def parse_file(name: str, data: bytes) -> Iterator[dict]:
         return
     if kind == "text":
         source = data.decode("utf-8", "replace")
-        if not is_openvex(source) and not is_csaf(source):
+        if not is_openvex(source) and not is_csaf(source) and not is_profile(source):
             yield row(_safely(data, name), name, data)
         return
     notes: list[dict] = []
@@ -186,5 +188,6 @@ def failures(rows: DataFrame) -> DataFrame:
     return rows.where("failed").select("document.file_name", F.explode("diagnostics").alias("d")).where("d.severity = 'error'").select("file_name", "d.code", "d.message")
 
 
-def read_workspace(spark: SparkSession, path: str, pattern: str | None = None) -> Workspace:
+def read_workspace(spark: SparkSession, path: str, pattern: str | None = EXTENSIONS) -> Workspace:
+    """The workspace of all files below path whose names end as documents and deliveries do; None takes every file."""
     return to_workspace(read_rows(spark, path, pattern))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from bomweave.operators.order import numbered
-from bomweave.operators.profile import sniff
+from bomweave.operators.profile import MAX_BYTES, Profile, sniff, validate
 from bomweave.sources import archives
 from bomweave.sources.advisories import is_csaf, is_openvex, parse_csaf, parse_openvex
 from bomweave.storage import materialize
@@ -65,6 +66,14 @@ def scan(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, ROW)
 
 
+def read_profiles(spark: SparkSession, path: str) -> list[tuple[str, Profile | None, list[str]]]:
+    """(path, profile, what is wrong with it) of the profiles below path, in order of path: small files, read on the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.where((F.col("length") <= MAX_BYTES) & F.col("content").cast("string").contains("-profile/v")).select("path", "content")
+    texts = ((r.path, bytes(r.content).decode("utf-8", "replace")) for r in small.orderBy("path").collect())
+    return [(p, *validate(json.loads(t))) for p, t in texts if sniff(t)]
+
+
 def assembled(rows: DataFrame) -> DataFrame:
     """What read_statements() gives, from rows of scan()."""
     rows = materialize(rows, "statements")

@@ -338,6 +338,17 @@ def test_signatures():
         assert signature.verify({**component, "version": "2"}, s, pem("PUBLIC KEY", spki)) == {"state": "invalid", "digest_match": False, "reason": "the descriptor is not the one that was signed"}
     assert signature.verify(component, recorded("RSASSA-PSS", plain), pem("PUBLIC KEY", spki))["state"] == "invalid"
     assert signature.verify(component, recorded("odd", plain), pem("PUBLIC KEY", spki))["state"] == "unverifiable"
+    good = pem("PUBLIC KEY", spki)
+    other = pem("RSA PUBLIC KEY", _der(0x30, number(n + 2) + number(65537)))
+    keys = signature.pin(signature.pin({}, " b ", other), "a", good)
+    assert [*keys] == ["b", "a"] and [*signature.pin(keys, "b", good)] == ["a", "b"] and [*signature.unpin(keys, "b")] == ["a"]
+    assert signature.verify_pinned(component, recorded("RSASSA-PKCS1-V1_5", plain), keys)["label"] == "a"
+    assert signature.verify_pinned(component, recorded("RSASSA-PKCS1-V1_5", plain), {"b": other})["state"] == "invalid" and signature.verify_pinned(component, {}, {})["state"] == "unverifiable"
+    for label, text in ((" ", good), ("x", "no key")):
+        with pytest.raises(signature.BadInput):
+            signature.pin(keys, label, text)
+    with pytest.raises(signature.BadInput):
+        signature.pin({str(i): good for i in range(16)}, "x", good)
     moved = {**component, "repositoryContexts": [{"x": 1}], "resources": [{**r, "access": {"type": "x"}, "labels": [{"name": "l", "value": 1}]} for r in component["resources"]]}
     assert signature.normalized(moved, "jsonNormalisation/v3") == signature.normalized(component, "jsonNormalisation/v3")
     with pytest.raises(signature.BadInput):

@@ -62,6 +62,21 @@ def test_intake(ws, rows):
     assert [tuple(r) for r in files.failures(rows).select("file_name", "code").collect()] == [("notes.txt", "UNRECOGNIZED_FORMAT")]
 
 
+def test_profiles_are_sifted(spark, folder, tmp_path):
+    """A profile in a folder is no failed document; files that end otherwise are left alone."""
+    profile_ = {"schema": "yard-profile/v2", "name": "p", "checks": [{"type": "document-field", "field": "name"}]}
+    (tmp_path / "p.json").write_text(json.dumps(profile_))
+    (tmp_path / "q.json").write_text(json.dumps({**profile_, "checks": []}))
+    (tmp_path / "z.txt").write_text("words")
+    (tmp_path / "a.spdx.json").write_text(json.dumps(sbom("one", [package("a", "1")], [])))
+    assert [r.name for r in files.read_workspace(spark, str(tmp_path)).document.collect()] == ["one"]
+    assert files.failures(files.read_rows(spark, str(tmp_path), files.EXTENSIONS)).count() == 0
+    from bomweave.sources.statements import read_profiles
+
+    (_, good, none), (_, bad, wrong) = read_profiles(spark, str(tmp_path))
+    assert good.name == "p" and not none and bad is None and wrong
+
+
 def test_resolution(ws):
     resolved = {r.doc_ref: r for r in resolve.resolutions(ws).collect()}
     assert (resolved["DocumentRef-loom"].method, resolved["DocumentRef-keel"].method) == ("checksum", "namespace")
