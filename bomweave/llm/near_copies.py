@@ -1,8 +1,10 @@
 """Groups of near copies: texts whose sets of word shingles have a Jaccard similarity of LIKE or more, linked into components.
 
-Texts of one shingle set are one point. Points that agree on ROWS minima of hashed shingles in any of BANDS bands are candidates:
+Texts of one shingle set are one point. Points meet first by SimHash: those whose fingerprints simhash_dedup links, through its
+vantage-point trees, at RADIUS bits are candidates. At similarity 0.8 fingerprints lie up to 14 bits apart, where such trees prune
+nothing, so what lies further is found beside them: points that are not united yet and agree on ROWS minima of hashed shingles in any of BANDS bands are candidates:
 at similarity 0.8 a pair is missed with probability 7e-6, above it with less. Each candidate pair is confirmed by the exact
-similarity of the shingles themselves, on whole texts. Three rounds keep a large group from meeting in all pairs: first every
+similarity of the shingles themselves, on whole texts. Three more rounds keep a large group from meeting in all pairs: first every
 point meets the least of its bands' least points; then the least points of its other bands, where they are in other components
 so far; then the points of bands that are still in several components meet, with their shingle sets, in one task a band: it
 compares those of different components and gives a spanning forest of what it finds, never pairs. A band of many points, or of
@@ -24,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bomweave.llm.common import join_many_to_one, map_batches, materialize, shuffle_partitions
-from bomweave.llm.simhash_dedup import components, first_of_groups, named
+from bomweave.llm.simhash_dedup import components, edges, fingerprint, first_of_groups, named
 
 WIDTH, LIKE = 5, 0.8
+#: Bits by which fingerprints of candidates may differ.
+RADIUS = 4
 BANDS, ROWS = 30, 5
 #: Shingles that are hashed anew at once.
 _BLOCK = 4096
@@ -66,22 +70,23 @@ def alike(a: bytes | None, b: bytes | None, width: int = WIDTH, like: float = LI
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """id, text (bytes), key, n (shingles) and bands of each row."""
+    """id, text (bytes), key, n (shingles), fp (the SimHash fingerprint) and bands of each row."""
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, fps, bands = [], [], [], []
             for t in batch[1]:
                 own = shingles(t.as_py(), width)
                 key, band = signature(own)
                 keys.append(key)
                 sizes.append(len(own))
+                fps.append(fingerprint(t.as_py(), width))
                 bands.append(signed(band))
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(signed(keys)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "text", "key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(signed(keys)), pa.array(sizes, pa.int64()), pa.array(signed(fps)), pa.array(bands, pa.list_(pa.int64()))], ["id", "text", "key", "n", "fp", "bands"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return map_batches(chosen, run, f"id {chosen.schema['id'].dataType.simpleString()}, text binary, key long, n long, bands array<long>")
+    return map_batches(chosen, run, f"id {chosen.schema['id'].dataType.simpleString()}, text binary, key long, n long, fp long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, like: float = LIKE) -> DataFrame:
@@ -99,20 +104,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, like: floa
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, like: float = LIKE) -> DataFrame:
     """Each row's id and component_id: the least id of the documents that links lead to, its own included."""
     rows = materialize(marked(docs, id_col, text_col, width).withColumn("row", F.monotonically_increasing_id()), "marked")
-    points = materialize(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("row"), F.first("n").alias("size"), F.first("bands").alias("bands")), "points")
+    points = materialize(rows.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("row"), F.first("n").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "points")
     dealt = points.select("key", "size", F.explode("bands").alias("band"))
     shared = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("key", "size")).alias("lead")).where("n > 1")
     cells = materialize(join_many_to_one(dealt, "band", materialize(shared, "shared-bands")), "cells")
     near = lambda x, y: F.least(x, y) >= like * F.greatest(x, y)  # noqa: E731  # sets of further sizes cannot be alike
     to_lead = cells.where((F.col("key") != F.col("lead.key")) & near(F.col("size"), F.col("lead.size"))).select(F.col("key").alias("a"), F.col("lead.key").alias("b"))
     to_lead = materialize(to_lead.distinct(), "leads")
-    # one text a point, that of its first row, so that copies don't meet; points that are in no shared band need none
-    wanted = materialize(points.join(cells.select("key").distinct(), "key", "left_semi").select("row"), "wanted-rows")
+    by_simhash = materialize(simhash_pairs(points), "simhash-pairs")
+    # one text a point, that of its first row, so that copies don't meet; points without a candidate need none
+    met = cells.select("key").union(by_simhash.select(F.explode(F.array("a", "b")))).distinct()
+    wanted = materialize(points.join(met, "key", "left_semi").select("row"), "wanted-rows")
     texts = materialize(rows.join(wanted, "row", "left_semi").select("key", "text"), "texts")
-    # each point's first lead, then its leads of other components, then points of a band that are still in several
-    first = materialize(to_lead.groupBy("a").agg(F.min("b").alias("b")), "first-leads")
-    links = materialize(confirmed(first, texts, width, like), "links")
+    # SimHash's links; each point's first lead, then its leads, of other components, then points of a band that are still in several
+    links = materialize(confirmed(by_simhash, texts, width, like), "links")
     roots = materialize(components(links), "components")
+    first = materialize(_apart(to_lead.groupBy("a").agg(F.min("b").alias("b")), roots), "first-leads")
+    more = materialize(confirmed(first, texts, width, like), "links")
+    if not more.isEmpty():
+        links = materialize(links.unionByName(more), "links")
+        roots = materialize(components(links), "components")
     others = _apart(to_lead.join(first, ["a", "b"], "left_anti"), roots)
     more = materialize(confirmed(others, texts, width, like), "links")
     if not more.isEmpty():
@@ -125,6 +136,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return join_many_to_one(rows.select("id", "key"), "key", labels).select(F.col("id").alias(id_col), "component_id")
 
 
+def simhash_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): keys that SimHash links, at most one pair for each point: those of one fingerprint with its least key, and the least keys along edges()."""
+    of_print = materialize(points.where("size > 0").groupBy("fp").agg(F.min("key").alias("lead"), F.count("*").alias("n")), "prints")
+    same = join_many_to_one(points.where("size > 0").select("key", "fp"), "fp", of_print.where("n > 1").select("fp", "lead", "n"))
+    ends = [of_print.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}")) for c in "ab"]
+    across = edges(of_print.select("fp"), radius).distinct().join(ends[0], "a").join(ends[1], "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
+    return same.where("key <> lead").select(F.col("key").alias("a"), F.col("lead").alias("b")).unionByName(across)
+
+
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
     """key and hashes (the bytes of hashed()) of each text."""
 

@@ -32,7 +32,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, similarity 0.8): that of the smallest id.
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8; by SimHash, and minima beyond its radius): that of the smallest id.
 
     Texts without words, null ones too, are one group; rows without an id stay; of rows that repeat an id one stays, that of the
     least text.

@@ -101,3 +101,17 @@ def test_stage_cases(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, frame(docs), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, long), (2, ""), (4, "other words of the same id")]
     assert corpus_pipeline.drop_near_duplicates(spark, frame([]), "").count() == 0
+
+
+def test_simhash_takes_part(spark, monkeypatch):
+    """The operator's fingerprints and trees give candidates of their own: with no bands at all, close copies are still found."""
+    rng = random.Random(4)
+    base = rng.choices([f"w{i}" for i in range(500)], k=3000)
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "x"])), (2, " ".join(["y", *base])), (3, " ".join(rng.choices(base, k=3000))), (4, "")]
+    real = near_copies.signature
+    monkeypatch.setattr(near_copies, "signature", lambda own: (real(own)[0], []))
+    points = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = near_copies.marked(points).localCheckpoint()
+    pairs = near_copies.simhash_pairs(marked.withColumnRenamed("n", "size")).collect()
+    names = {r.key: r.id for r in marked.collect()}
+    assert {names[x] for p in pairs for x in (p.a, p.b)} == {0, 1, 2} and len(set(map(tuple, pairs))) == 2
