@@ -271,3 +271,19 @@ def test_few_documents_go_to_every_task(spark, ws, monkeypatch):
         assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_statements_meet_sources_as_lists(spark):
+    """What holds is found within lists: no row a source and vulnerability is dealt out; results are those of a plain walk."""
+    own, statements, rows = _stated_twice(spark)
+    found = vex.findings(own, statements)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert any("_purl" in x for x in dealt) and not any("_purl" in x and "vulnerability" in x for x in dealt)
+    fits = lambda ref, source: ref in ("pkg:generic/a", f"pkg:generic/a@{source[0]}", f"pkg:generic/a@{source[0]}?arch=x") or source == "1c" and ref.startswith("cpe:2.3:a:v:p")
+    want = []
+    for name, source in [(f"a{i}", str(i % 3)) for i in range(30)] + [(f"c{i}", "1c") for i in range(10)]:
+        for v in {r[1] for r in rows}:
+            own_rows = sorted(((r[4] or "").startswith("20") and r[4] or "", r[0], r[2]) for r in rows if r[1] == v and fits(r[3], source))
+            want += [("d", name, v, own_rows[-1][2], own_rows[-1][1], len(own_rows) - 1)] if own_rows else []
+    assert sorted(map(tuple, found.collect())) == sorted(want)
