@@ -287,3 +287,15 @@ def test_statements_meet_sources_as_lists(spark):
             own_rows = sorted(((r[4] or "").startswith("20") and r[4] or "", r[0], r[2]) for r in rows if r[1] == v and fits(r[3], source))
             want += [("d", name, v, own_rows[-1][2], own_rows[-1][1], len(own_rows) - 1)] if own_rows else []
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_finding_order_from_lists(spark):
+    """Places are those in the list of a source: by rank, then vulnerability, and no row a vulnerability is dealt out for them."""
+    own, statements, _ = _stated_twice(spark)
+    placed = vex.ordered_findings(vex.stated(own, statements))
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert not any("_purl" in x and "vulnerability" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+    by: dict[str, list] = {}
+    for r in placed.collect():
+        by.setdefault(r.spdx_id, []).append((vex.STATUSES.index(r.status), r.vulnerability, r.place))
+    assert len(by) == 40 and all([x[2] for x in sorted(rows)] == list(range(1, len(rows) + 1)) for rows in by.values())
